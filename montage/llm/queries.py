@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_tiff, mixing, packing, warc_zip
+from . import media_tiff, minhash_join, mixing, packing, quality, toxicity, warc_zip
 from .common import table
 
 
@@ -26,7 +26,20 @@ def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_toxic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.tag_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_media, op2_minimum_bin_slack, op3_warc_zip, op5_sainte_lague)
+    f.__name__: f for f in (op1_tiff_media, op2_minimum_bin_slack, op3_warc_zip, op5_sainte_lague, op6_minhash_banding, op9_robust_outliers, op10_toxic_field)
 }
 ORACLE_SQL: dict[str, str] = {"op5_sainte_lague": mixing.MIX_SQL}
