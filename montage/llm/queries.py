@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_tiff, minhash_join, mixing, packing, quality, toxicity, warc_zip
+from . import media_tiff, minhash_join, mixing, packing, quality, substring_dedup, toxicity, warc_zip
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op10_toxic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_media, op2_minimum_bin_slack, op3_warc_zip, op5_sainte_lague, op6_minhash_banding, op9_robust_outliers, op10_toxic_field)
+    f.__name__: f for f in (op1_tiff_media, op2_minimum_bin_slack, op3_warc_zip, op4_induced_sorting, op5_sainte_lague, op6_minhash_banding, op9_robust_outliers, op10_toxic_field)
 }
 ORACLE_SQL: dict[str, str] = {"op5_sainte_lague": mixing.MIX_SQL}
