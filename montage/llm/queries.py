@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media_tiff, minhash_join, mixing, packing, quality, substring_dedup, toxicity, warc_zip
+from . import license_index, media_tiff, minhash_join, mixing, packing, quality, substring_dedup, toxicity, url_templates, warc_zip
 from .common import table
 
 
@@ -34,6 +34,14 @@ def op6_minhash_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,6 @@ def op10_toxic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_tiff_media, op2_minimum_bin_slack, op3_warc_zip, op4_induced_sorting, op5_sainte_lague, op6_minhash_banding, op9_robust_outliers, op10_toxic_field)
+    f.__name__: f for f in (op1_tiff_media, op2_minimum_bin_slack, op3_warc_zip, op4_induced_sorting, op5_sainte_lague, op6_minhash_banding, op7_path_templates, op8_rare_token_index, op9_robust_outliers, op10_toxic_field)
 }
-ORACLE_SQL: dict[str, str] = {"op5_sainte_lague": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_sainte_lague": mixing.MIX_SQL, "op7_path_templates": url_templates.judge_sql(), "op8_rare_token_index": license_index.scan_sql()}
