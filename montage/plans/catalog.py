@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import narration
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _family in (narration,):
+    QUERIES |= _family.QUERIES
+    ORACLE_SQL |= _family.ORACLE_SQL
