@@ -49,20 +49,20 @@ def pad_width(largest: Column, least: int = 3) -> Column:
 def folder_stamp(seconds: Column) -> Column:
     """MMmSSs, truncated; minutes do not wrap."""
     s = seconds.cast("long")
-    return F.format_string("%02dm%02ds", F.floor(s / 60).cast("long"), (s % 60).cast("long"))
+    return F.when(s.isNotNull(), F.format_string("%02dm%02ds", F.floor(s / 60).cast("long"), (s % 60).cast("long")))
 
 
 def timecode(seconds: Column) -> Column:
     """H:MM:SS from an hour on, else M:SS, truncated."""
     s = seconds.cast("long")
-    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60))
+    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)).when(s.isNotNull(), F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60))
 
 
 def srt_stamp(seconds: Column) -> Column:
     """HH:MM:SS,mmm, rounded half-even to milliseconds."""
     ms = F.bround(seconds * 1000).cast("long")
     part = lambda d, m: (F.floor(ms / d) % m).cast("long")
-    return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("long"), part(60_000, 60), part(1000, 60), ms % 1000)
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("long"), part(60_000, 60), part(1000, 60), ms % 1000))
 
 
 def parse_timecode(text: Column) -> Column:

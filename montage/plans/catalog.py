@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import narration
+from . import delivery, entities, media, narration
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _family in (narration,):
+for _family in (narration, entities, media, delivery):
     QUERIES |= _family.QUERIES
     ORACLE_SQL |= _family.ORACLE_SQL
