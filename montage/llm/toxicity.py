@@ -90,12 +90,21 @@ def word_marginals(model: Field, words: list[str], quiet: dict[int, np.ndarray])
     return out
 
 
+def _tells(c: int, o: int, n1: int, n0: int, words: int) -> bool:
+    """Whether a word in c of n1 toxic and o of n0 other documents is toxic: log-odds above 2, and a chance (by Chernoff's bound) under 1 / words."""
+    odds = np.log((c + 0.5) / (n1 - c + 0.5)) - np.log((o + 0.5) / (n0 - o + 0.5))
+    k, q, base = c + o, c / (c + o), n1 / (n1 + n0)
+    if odds <= 2 or q <= base:
+        return False
+    return k * (q * np.log(q / base) + ((1 - q) * np.log((1 - q) / (1 - base)) if q < 1 else 0.0)) > np.log(words)
+
+
 def fit(texts: list[str], labels: list[int], steps: int = 40) -> Field:
     """Fits the field to documents marked toxic or not.
 
-    The labels mark documents, so words are labelled first: a word of a toxic document is toxic if the word stands much more often in
-    toxic documents than in others (log-odds with half-counts above 2 and above 2.5 standard errors, in two documents at least). The field is fitted to these labels
-    by gradient ascent on its likelihood with a penalty on squares, then the document's logit to the document labels.
+    The labels mark documents, so words are labelled first: a word of a toxic document is toxic if it stands much more often in toxic
+    documents (in copies of one text only once) than in others, and so clearly that less than one of all words would by chance. The field is fitted to these labels by
+    gradient ascent on its likelihood with a penalty on squares, then the document's logit to the document labels.
     """
     model = Field()
     tokens = [_TOKEN.findall(t.lower()) for t in texts]
@@ -103,9 +112,11 @@ def fit(texts: list[str], labels: list[int], steps: int = 40) -> Field:
     toxic, other = Counter(), Counter()
     for words, label in zip(tokens, labels, strict=True):
         (toxic if label else other).update(set(words))
+    # copies of a text are no evidence of their own: a word counts as often as it stands between different neighbours, at most
+    places = {(a, w, b) for words, label in zip(tokens, labels, strict=True) if label for a, w, b in zip(["", *words], words, [*words[1:], ""])}
+    differing = Counter(w for _, w, _ in places)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    odds = {w: np.log((c + 0.5) / (n1 - c + 0.5)) - np.log((other[w] + 0.5) / (n0 - other[w] + 0.5)) for w, c in toxic.items() if c >= 2}
-    marked = {w for w, x in odds.items() if x > 2 and x > 2.5 * np.sqrt(1 / (toxic[w] + 0.5) + 1 / (other[w] + 0.5))}
+    marked = {w for w, c in toxic.items() if _tells(min(c, differing[w]), other[w], n1, n0, len(toxic))}
     often = Counter(toxic) + Counter(other)
     vocabulary = {w: k for k, (w, _) in enumerate(sorted(((w, c) for w, c in often.items() if c >= 2), key=lambda x: (x[0] not in marked, -x[1], x[0]))[:MAX_WORDS])}
     rows, truth = [], []
