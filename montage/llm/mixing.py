@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, pick, text_of
 
 #: Weights that sources take in turn, in code-point order (null last); most copies of a document; words in a block; documents in a shard.
-WEIGHTS, MOST, BLOCK, PER_SHARD, SEED = (5, 2, 1), 3, 32, 4096, "mix-1"
+WEIGHTS, MOST, BLOCK, PER_SHARD, SEED = (5, 2, 1), 3, 8, 4096, "mix-1"
 
 
 def word_count(column: Column) -> Column:
@@ -59,7 +59,8 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int
     [tail_start, tail_start + tail_words); taken is the sum. Sizes are words; a null text has none, a null source is one more source.
     Every source's documents are dealt by hash to shards of about per_shard; Sainte-Laguë gives each source a number of equal blocks by
     its target, and each shard its integer quota of them by its size. A shard's documents, in seeded order, form a stream of blocks: the
-    quota takes the whole stream as often as it goes, then a run of blocks from a seeded place, cyclically. Reruns agree; repeated rows
+    quota takes the whole stream as often as it goes, then a run of blocks from a seeded place, cyclically. Blocks cost nothing by number
+    (the work is that of sources, shards and documents), so they are small and a source misses its target by a few words a shard. Reruns agree; repeated rows
     are documents of their own; an empty table gives none. carry names columns of docs to keep.
     """
     names = [c for c in carry if c not in ("doc_id", "source")]
@@ -104,7 +105,7 @@ leveled AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (OR
     / CAST(sum(weight) OVER (ORDER BY cap / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM weighed),
 capped AS (SELECT *, cap <= level * weight AS is_capped FROM leveled),
 targets AS (SELECT *, CASE WHEN is_capped THEN CAST(cap AS DOUBLE) ELSE arg_min(level, CASE WHEN is_capped THEN NULL ELSE {'r': cap / weight, 'i': i} END) OVER () * weight END AS target,
-    CAST(round(sum(source_size) OVER () / 32) AS BIGINT) AS seats, count(*) OVER () AS k FROM capped),
+    CAST(round(sum(source_size) OVER () / @block) AS BIGINT) AS seats, count(*) OVER () AS k FROM capped),
 votes1 AS (SELECT *, sum(target) OVER () AS total FROM targets),
 bounds1 AS (SELECT *, CASE WHEN total > 0 THEN CAST(greatest(floor(target * (seats - k / 2) / total - 1.5), 0) AS BIGINT) ELSE 0 END AS low,
     CASE WHEN total > 0 THEN CAST(greatest(floor(target * (seats + k / 2) / total + 1.5), 0) AS BIGINT) ELSE 0 END AS high FROM votes1),
@@ -121,13 +122,13 @@ bounds2 AS (SELECT *, CASE WHEN total > 0 THEN CAST(greatest(floor(shard_size *
 open2 AS (SELECT *, seats - sum(low) OVER (PARTITION BY i) AS open FROM bounds2),
 bids2 AS (SELECT i, shard, open, row_number() OVER (PARTITION BY i ORDER BY shard_size / (2 * s + 1) DESC, shard, s) AS place FROM (SELECT i, shard, shard_size, open, unnest(range(low, high)) AS s FROM open2)),
 won2 AS (SELECT i, shard, count(*) AS won FROM bids2 WHERE place <= open GROUP BY i, shard),
-quotas AS (SELECT o.i, o.shard, CAST(greatest(ceil(shard_size / 32), 1) AS BIGINT) AS n, o.low + coalesce(w.won, 0) AS quota FROM open2 o LEFT JOIN won2 w USING (i, shard)),
+quotas AS (SELECT o.i, o.shard, CAST(greatest(ceil(shard_size / @block), 1) AS BIGINT) AS n, o.low + coalesce(w.won, 0) AS quota FROM open2 o LEFT JOIN won2 w USING (i, shard)),
 turned AS (SELECT *, least(quota // n, 3) AS copies, CAST('0x' || substr(md5('mix-1|' || CAST(i AS VARCHAR) || '|' || CAST(shard AS VARCHAR)), 1, 8) AS BIGINT) % n AS turn FROM quotas),
 runs AS (SELECT *, CASE WHEN copies = 3 THEN 0 ELSE quota % n END AS rest FROM turned),
-ranges AS (SELECT i, shard, copies, turn * 32 AS from1, least(turn + rest, n) * 32 AS to1, greatest(turn + rest - n, 0) * 32 AS to2 FROM runs),
+ranges AS (SELECT i, shard, copies, turn * @block AS from1, least(turn + rest, n) * @block AS to1, greatest(turn + rest - n, 0) * @block AS to2 FROM runs),
 placed AS (SELECT d.*, r.copies, r.from1, r.to1, r.to2, coalesce(sum(size) OVER (PARTITION BY i, shard ORDER BY h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM dealt d JOIN ranges r USING (i, shard)),
 parts AS (SELECT *, greatest(least(a + size, to1) - greatest(a, from1), 0) AS tail_words, greatest(least(a + size, to2) - a, 0) AS head_words FROM placed)
 SELECT doc_id, size, source_size, target, CAST(copies * size + tail_words + head_words AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies, CAST(0 AS BIGINT) AS head_start,
   CAST(head_words AS BIGINT) AS head_words, CAST(CASE WHEN tail_words > 0 THEN greatest(a, from1) - a ELSE 0 END AS BIGINT) AS tail_start, CAST(tail_words AS BIGINT) AS tail_words
 FROM parts
-""".replace("\\\\", "\\")
+""".replace("\\\\", "\\").replace("@block", str(BLOCK))
