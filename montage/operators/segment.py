@@ -113,6 +113,7 @@ def map_batches(segments: DataFrame, analyse, schema: str, size: int = DEFAULTS.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="batch")
         try:
             return analyse(rows)
         except Exception as e:  # a failed call spoils its own batch alone
