@@ -24,6 +24,8 @@ TEMPLATES = {
     "cc-license": ("this work is licensed under the creative commons attribution international license to view a copy of this license visit", ("licensed under", "creative commons")),
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
 }
+#: Parts of words one of which stands in every base phrase and in one key phrase at least of every template.
+MARKS = ("licens", " cc by ", " rights reserved ", " hereby granted ", "redistribution and use", " waived all copyright ")
 #: Rarest license words of a file that are looked up; of these, words that must fit a template at one offset.
 RAREST, AGREE = 8, 2
 
@@ -33,8 +35,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normal_text(text: Column) -> Column:
-    """The words with one blank between, before and after; a single blank if there are none."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.translate(text, _UPPER, _LOWER), F.lit(" ")), _GAP, " ")
+    """The words with one blank between, before and after; a single blank if there are none.
+
+    All letters are lower-cased, which is quicker than A-Z alone: it moves no border of a word, and of the letters beyond ASCII only the
+    Kelvin sign becomes one within (a k, which no base phrase has).
+    """
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), _GAP, " ")
 
 
 def vocabulary() -> list[str]:
@@ -47,6 +53,13 @@ def document_frequencies(normal: DataFrame) -> dict[str, int]:
     return {r.word: r.n for r in normal.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
+def _must(template: str) -> Column:
+    out = F.lit(True)
+    for p in TEMPLATES[template][1]:
+        out = out & _has(p)
+    return out
+
+
 def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -55,23 +68,25 @@ def _has(phrase: str) -> Column:
     return F.contains("normal", F.lit(f" {phrase} "))
 
 
-def _aligned(template: str, rarest: Column) -> Column:
-    """Share of the template's words that stand in the file where the best offset puts them; null if too few rare words agree on one."""
-    text, phrases = TEMPLATES[template]
-    words = text.split()
-    own = F.array(*[F.lit(w) for w in words])
+def _offsets(template: str) -> Column:
+    """Places of the file's rarest words (spots: word, places) less their places in the template."""
+    words = TEMPLATES[template][0].split()
     places = F.create_map(*[x for w in sorted(set(words)) for x in (F.lit(w), F.array(*[F.lit(i) for i, v in enumerate(words) if v == w]))])
-    file = F.col("words")
-    here = lambda w: F.filter(F.sequence(F.lit(1), F.size(file)), lambda i: F.element_at(file, i) == w)
-    known = F.filter(rarest, lambda w: F.array_contains(own, w))
-    offsets = F.flatten(F.transform(known, lambda w: F.flatten(F.transform(here(w), lambda p: F.transform(F.element_at(places, w), lambda q: p - 1 - q)))))
-    votes = F.array_max(F.transform(F.array_distinct(offsets), lambda d: F.struct(F.size(F.filter(offsets, lambda x: x == d)).alias("votes"), (-d).alias("minus"))))
-    start = -votes["minus"]
-    fits = F.filter(F.sequence(F.lit(0), F.lit(len(words) - 1)), lambda i: F.coalesce(F.try_element_at(file, F.when(start + i >= 0, start + i + 1).otherwise(F.size(file) + 1)) == F.element_at(own, i + 1), F.lit(False)))
-    must = _has(phrases[0])
-    for p in phrases[1:]:
-        must = must & _has(p)
-    return F.when(must & F.coalesce(votes["votes"] >= AGREE, F.lit(False)), F.size(fits) / F.lit(float(len(words))))
+    known = F.filter("spots", lambda s: F.array_contains(F.array(*[F.lit(w) for w in sorted(set(words))]), s["word"]))
+    return F.flatten(F.transform(known, lambda s: F.flatten(F.transform(s["places"], lambda p: F.transform(F.element_at(places, s["word"]), lambda q: p - q)))))
+
+
+def _votes(offsets: str) -> Column:
+    """The offset that most rare words agree on, the smallest of equals: votes and minus (the offset's negative)."""
+    return F.array_max(F.transform(F.array_distinct(offsets), lambda d: F.struct(F.size(F.filter(offsets, lambda x: x == d)).alias("votes"), (-d).alias("minus"))))
+
+
+def _share(template: str, votes: str) -> Column:
+    """Share of the template's words that stand in the file where the offset puts them; null if too few rare words agree on it."""
+    words = TEMPLATES[template][0].split()
+    own, file, start = F.array(*[F.lit(w) for w in words]), F.col("words"), -F.col(votes)["minus"]
+    fits = F.filter(F.sequence(F.lit(0), F.lit(len(words) - 1)), lambda i: F.coalesce(F.get(file, F.when(start + i >= 0, start + i)) == F.get(own, i), F.lit(False)))
+    return F.when(F.coalesce(F.col(votes)["votes"] >= AGREE, F.lit(False)), F.size(fits) / F.lit(float(len(words))))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -87,20 +102,31 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     source = pick(docs, "doc_id", "text").select("doc_id", normal_text(text_of()).alias("normal"))
     frequency = document_frequencies(source)
     by_rank = sorted(vocabulary(), key=lambda w: (frequency.get(w, 0), w))
-    n = [F.when(_has(p), F.regexp_count("normal", F.lit(f" {p}(?= )"))).otherwise(0) for p, _ in PHRASES]
-    first = [F.when(_has(p), _blanks(F.substring("normal", F.lit(1), F.instr("normal", f" {p} "))) - 1) for p, _ in PHRASES]
-    # the last place: what follows it has no further match, so it is counted from the end
-    last = [F.when(_has(p), _blanks(F.col("normal")) - _blanks(F.substring_index("normal", f" {p} ", -1)) - len(p.split()) - 1) for p, _ in PHRASES]
-    source = source.select("doc_id", "normal", (_blanks(F.col("normal")) - 1).cast("long").alias("n_words"), *[c.alias(f"n{i}") for i, c in enumerate(n)], *[c.alias(f"f{i}") for i, c in enumerate(first)], *[c.alias(f"l{i}") for i, c in enumerate(last)])
+    # a text without any of these marks holds no phrase, so that one look decides for most texts
+    gate = F.lit(False)
+    for mark in MARKS:
+        gate = gate | F.contains("normal", F.lit(mark))
+    source = source.select("doc_id", "normal", (_blanks(F.col("normal")) - 1).cast("long").alias("n_words"), gate.alias("gate"))
+    source = source.select("*", *[(F.col("gate") & _has(p)).alias(f"h{i}") for i, (p, _) in enumerate(PHRASES)], *[F.when(F.col("gate"), _must(t)).otherwise(False).alias(f"m{i}") for i, t in enumerate(TEMPLATES)])
+    n = [F.when(F.col(f"h{i}"), F.regexp_count("normal", F.lit(f" {p}(?= )"))).otherwise(0).alias(f"n{i}") for i, (p, _) in enumerate(PHRASES)]
+    first = [F.when(F.col(f"h{i}"), _blanks(F.substring("normal", F.lit(1), F.instr("normal", f" {p} "))) - 1).alias(f"f{i}") for i, (p, _) in enumerate(PHRASES)]
+    # what follows the last place has no further match, so it is counted from the end
+    last = [F.when(F.col(f"h{i}"), F.col("n_words") - _blanks(F.substring_index("normal", f" {p} ", -1)) - len(p.split())).alias(f"l{i}") for i, (p, _) in enumerate(PHRASES)]
     maybe = F.lit(False)
-    for _, phrases in TEMPLATES.values():
-        maybe = maybe | _has(phrases[0])
-    source = source.withColumn("words", F.when(maybe, F.split(F.trim("normal"), " ")))
+    for i in range(len(TEMPLATES)):
+        maybe = maybe | F.col(f"m{i}")
+    musts = [f"m{i}" for i in range(len(TEMPLATES))]
+    source = source.select("doc_id", "n_words", *musts, *n, *first, *last, F.when(maybe, F.split(F.trim("normal"), " ")).alias("words"))
+    counts = [f"{c}{i}" for c in "nfl" for i in range(len(PHRASES))]
     # words by rank: the intersection keeps the order of its first array
     rarest = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in by_rank]), "words"), 1, RAREST)
-    source = source.withColumn("rarest", rarest)
-    shares = [F.when(F.col("words").isNotNull(), _aligned(t, F.col("rarest"))).alias(f"t{i}") for i, t in enumerate(TEMPLATES)]
-    source = source.select("*", *shares)
+    source = source.select("doc_id", "n_words", *musts, *counts, "words", F.when(F.col("words").isNotNull(), rarest).alias("rarest"))
+    here = lambda w: F.filter(F.transform("words", lambda v, i: F.when(v == w, i)), lambda i: i.isNotNull())
+    source = source.select("doc_id", "n_words", *musts, *counts, "words", F.transform("rarest", lambda w: F.struct(w.alias("word"), here(w).alias("places"))).alias("spots"))
+    each = list(enumerate(TEMPLATES))
+    source = source.select("doc_id", "n_words", *counts, "words", *[F.when(F.col(f"m{i}"), _offsets(t)).alias(f"o{i}") for i, t in each])
+    source = source.select("doc_id", "n_words", *counts, "words", *[_votes(f"o{i}").alias(f"v{i}") for i, _ in each])
+    source = source.select("doc_id", "n_words", *counts, *[_share(t, f"v{i}").alias(f"t{i}") for i, t in each])
     count = sum((F.col(f"n{i}") for i in range(1, len(PHRASES))), F.col("n0"))
     base = F.filter(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
     more = F.filter(F.array(*[F.when(F.col(f"t{i}").isNotNull(), F.lit(t)) for i, t in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
