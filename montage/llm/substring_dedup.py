@@ -4,7 +4,8 @@ Every window of 200 bytes contains an anchor, the 50-byte gram with the least ha
 windows with one anchor form a segment. Anchors that occur once cannot belong to a repeated window; of the rest, equal segments are
 counted, and only distinct segments of anchors that have several go on, as bytes, to shards by anchor. A shard's segments are one text whose
 suffixes are sorted with common prefixes by external induced sorting; a window that shares 200 bytes with a neighbour in that order is
-repeated.
+repeated. An anchor with very many distinct segments (a passage that many texts quote) would make a shard of its own size: its segments
+are cut anew by longer anchors, which tell most of them apart, and windows that even these leave together are matched by digests.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize, pick, shards_for, text_of
 from .induced_sort import suffix_sort
 
-#: Bytes of a window, of an anchor, of a shard's text; segments of one anchor beyond which their windows are told apart by digests.
-WINDOW, GRAM, SHARD_BYTES, HOT_SEGMENTS = 200, 50, 4_000_000, 256
+#: Bytes of a window, of an anchor, of a longer anchor, of a shard's text; distinct segments of one anchor beyond which longer ones cut them.
+WINDOW, GRAM, LONG_GRAM, SHARD_BYTES, HOT_SEGMENTS = 200, 50, 185, 4_000_000, 256
 _SPAN = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
@@ -168,6 +169,34 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(n, ref)), pa.array(first + np.arange(n)), pa.array(np.full(n, single))], names=["a", "b", "ref", "place", "single"])
 
 
+def _cut_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (bytes, ref, first, single) cut by longer anchors: the same columns, and anchor and segment."""
+    grams = _Grams()
+    for batch in batches:
+        data, refs, firsts, single = (batch.column(i).to_pylist() for i in range(4))
+        rows = [(data[i][f : f + n - 1 + WINDOW], refs[i], firsts[i] + f, single[i], a, d) for i, f, n, a, d in segments(data, grams, WINDOW, LONG_GRAM)]
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bytes", "ref", "first", "single", "anchor", "segment"])
+
+
+def _hot_ranges(hot: DataFrame) -> DataFrame:
+    """ref, start, stop of repeated windows among segments (bytes, ref, first, single) of anchors that have very many."""
+    cut = materialize(hot.mapInArrow(_cut_anew, "bytes binary, ref long, first long, single boolean, anchor long, segment long"), "cut")
+    kinds = cut.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.every("single").alias("single"))
+    kinds = materialize(kinds.withColumn("sure", (F.col("n") > 1) | ~F.col("single")), "kinds")
+    equal = cut.where("single").join(kinds.where("sure").select("anchor", "segment"), ["anchor", "segment"])
+    equal = equal.select("ref", F.col("first").alias("start"), (F.col("first") + F.octet_length("bytes")).alias("stop"))
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.every("sure").alias("done")).where("kinds > 1 and not done").select("anchor")
+    # one row stands for each distinct segment; those found above count as partners only
+    left = cut.join(several, "anchor").groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"), F.min("ref").alias("ref"), F.min("first").alias("first"), F.count("*").alias("n"), F.every("single").alias("s"))
+    windows = left.select("bytes", "ref", "first", (F.col("s") & (F.col("n") == 1)).alias("single")).mapInArrow(_windows_of, "a long, b long, ref long, place long, single boolean")
+    windows = materialize(windows, "windows")
+    often = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    matched = windows.where("single").join(often, ["a", "b"]).select("ref", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
+    return equal.union(matched)
+
+
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted segments (ref, items: list of first, windows, anchor, segment, single, hot), once for each text."""
     joined = docs.join(wanted, "ref").select("text", "ref", "items")
@@ -204,12 +233,10 @@ def covered(docs: DataFrame) -> DataFrame:
     fetched = materialize(_fetch(docs, items), "bytes")
     cold = fetched.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     sorted_ = cold.select("shard", "bytes", "ref", "first", "single").groupBy("shard").applyInArrow(_sort_shard, "ref long, start long, stop long")
-    windows = fetched.where("hot").select("bytes", "ref", "first", "single").mapInArrow(_windows_of, "a long, b long, ref long, place long, single boolean")
-    hot_counts = windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("single").alias("s"))
-    windows_hit = windows.where("single").join(hot_counts.where("n > 1").select("a", "b"), ["a", "b"]).select("ref", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
+    hot = _hot_ranges(fetched.where("hot").select("bytes", "ref", "first", "single"))
     equal = candidates.join(distinct.where("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("ref", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + WINDOW).alias("stop"))
     copies = docs.groupBy("ref").count().where("count > 1").select("ref")
-    ranges = equal.join(copies, "ref", "left_anti").union(sorted_).union(windows_hit)
+    ranges = equal.join(copies, "ref", "left_anti").union(sorted_).union(hot)
     return ranges.groupBy("ref").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")).join(copies.withColumn("all", F.lit(True)), "ref", "full")
 
 
