@@ -164,3 +164,19 @@ def apply_actions(picks: DataFrame, actions: DataFrame) -> DataFrame:
 def directory_bytes(files: DataFrame) -> DataFrame:
     """files of the binaryFile source (content is not read) -> directory, bytes, files."""
     return files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory")).agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
+
+
+def project_report(segments: DataFrame, planned: DataFrame, batch: int = DEFAULTS.batch_size) -> DataFrame:
+    """One row a project: segments, how many are degraded or gaps, files by kind and band, and a model's calls."""
+    delivered = planned.groupBy("project").agg(
+        F.count("*").alias("files"), F.count_if(F.col("kind") == "clip").alias("clips"), F.count_if(F.col("band") == "high").alias("high"), F.count_if(F.col("band") == "medium").alias("flagged"), F.count_distinct("index").alias("covered")
+    )
+    own = segments.groupBy("project").agg(F.count("*").alias("segments"), F.count_if(F.col("status") != "ok").alias("degraded"), (1 + F.ceil(F.count("*") / batch)).cast("long").alias("calls"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "clips", "high", "flagged")]
+    return own.join(delivered, "project", "left").select("project", "segments", "degraded", *counts, (F.col("segments") - F.coalesce("covered", F.lit(0))).alias("gaps"), "calls")
+
+
+def segment_names(segments: DataFrame) -> DataFrame:
+    """Folder name of each segment: padded number and the stamps of its start and end; sorts in order of time."""
+    width = T.pad_width(F.max("index").over(Window.partitionBy("project")))
+    return segments.select("project", "index", F.concat(F.lpad(F.col("index").cast("string"), width, F.lit("0")), F.lit("_"), T.folder_stamp(F.col("start")), F.lit("-"), T.folder_stamp(F.col("end"))).alias("name"))

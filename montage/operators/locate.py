@@ -187,4 +187,4 @@ def clip_picks(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(picks of clips that were taken, reasons of segments without one)."""
     ok = outcomes.where("outcome = 'ok'").select("project", "index", F.lit("clip").alias("kind"), "path", F.row_number().over(Window.partitionBy("project", "index").orderBy("rank")).alias("rank"), "confidence")
     failed = outcomes.join(ok.select("project", "index").distinct(), ["project", "index"], "left_anti")
-    return ok, failed.groupBy("project", "index").agg(F.min_by("outcome", "rank").alias("reason"))
+    return ok, failed.groupBy("project", "index").agg(F.min(F.struct("rank", "outcome"))["outcome"].alias("reason"))
