@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, pick, remove, text_of
@@ -16,6 +16,8 @@ from .components import components
 
 #: Words in a shingle, least similarity, least probability that a pair of just that similarity shares a band, hash functions at most.
 NGRAM, SIMILARITY, RECALL, MOST_HASHES, SEED = 5, 0.8, 0.99, 256, 20_231
+#: Cells of a set's parity.
+CELLS = 1024
 
 _WORD = re.compile(WORD)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -100,23 +102,40 @@ def sketches(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFram
     return source.mapInArrow(run, f"doc_id {kind}, key binary, size int, bands array<bigint>")
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's hashes falls into each of CELLS cells, as 64-bit words.
+
+    A cell in which two sets differ holds at least one hash that only one of them has: differing cells bound the symmetric difference.
+    """
+    odd = np.bincount((s & np.uint64(CELLS - 1)).astype("i8"), minlength=CELLS) & 1
+    return np.packbits(odd.astype("u1")).view("i8")
+
+
+def may_reach(similarity: float, m: Column, k: Column, a: Column, b: Column) -> Column:
+    """False only if sets of sizes m and k with these parities cannot reach the similarity."""
+    apart = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, CELLS // 64)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
+    return (m + k - apart) >= F.lit(similarity) * (m + k + apart) - 1e-9
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """key, grams of the wanted keys, from the text of the document that stands for each (wanted: key, doc_id)."""
+    """key, grams, parity of the wanted keys, from the text of the document that stands for each (wanted: key, doc_id)."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("of"), text_of().alias("text"))
     joined = source.join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            keys, grams = [], []
+            keys, grams, parities = [], [], []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = shingles(text.as_py(), hashes, n).tobytes()
+                found = shingles(text.as_py(), hashes, n)
+                raw = found.tobytes()
                 if xxhash.xxh3_128_digest(raw) == key.as_py():  # ids may repeat with other texts
                     keys.append(key.as_py())
                     grams.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(grams, pa.binary())], names=["key", "grams"])
+                    parities.append(parity(found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(grams, pa.binary()), pa.array(parities, pa.list_(pa.int64()))], names=["key", "grams", "parity"])
 
-    return joined.mapInArrow(run, "key binary, grams binary")
+    return joined.mapInArrow(run, "key binary, grams binary, parity array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -141,9 +160,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = NGRAM) -> DataFrame:
     """Per document: doc_id, class_id, n_links, n_copies, n_shingles.
 
-    Documents with equal shingle sets are one node. In each band's bucket every node is compared with the bucket's least node and
-    with the least of its sixteenth of the bucket, by full shingle sets; pairs that reach the similarity are links, and components of
-    links are classes. Only where a bucket still holds several classes are its pairs of unlike classes compared too. So the classes
+    Documents with equal shingle sets are one node. A node's weight is the number of nodes that it meets in buckets: a text that others
+    were copied from meets most. In each band's bucket every node is compared with the heaviest one and with the heaviest of its
+    sixteenth of the bucket, by full shingle sets; pairs that reach the similarity are links, and components of links are classes. Only
+    where a bucket still holds several classes are its pairs of unlike classes compared too, as far as sizes and parities let them reach
+    the similarity. So the classes
     are exactly those that all pairs sharing a band would give, though within a class not all pairs are listed. n_links counts the links
     found of a document's node, n_copies the documents of that node; class_id is the class's least doc_id (null if it has none).
     A text without words (null and empty included) is a class of its own, without links. Repeated rows are copies; an empty table gives none.
@@ -152,16 +173,20 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     found = materialize(sketches(docs, bands, rows, n), "sketches")
     nodes = found.where("key is not null")
     spread = nodes.select("key", "size", F.explode("bands").alias("band")).distinct()
-    heads = spread.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.min_by("size", "key").alias("head_size")).where("head < last").drop("last")
+    often = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     # nodes of buckets that hold one node alone end here; all that follows is about the others
-    shared = materialize(spread.join(heads, "band"), "buckets")
+    met = materialize(spread.join(often, "band"), "buckets")
+    weight = met.groupBy("key").agg(F.sum("n").alias("weight"))
     part = F.conv(F.substring(F.hex("key"), 1, 1), 16, 10).cast("int")
-    shared = shared.withColumn("part", part)
-    parts = shared.groupBy("band", "part").agg(F.min("key").alias("part_head"), F.min_by("size", "key").alias("part_size"))
-    near = shared.select(F.col("head").alias("a"), F.col("key").alias("b"), F.col("head_size").alias("m"), F.col("size").alias("k"))
-    within = shared.join(parts, ["band", "part"]).select(F.col("part_head").alias("a"), F.col("key").alias("b"), F.col("part_size").alias("m"), F.col("size").alias("k"))
+    shared = materialize(met.drop("n").join(weight, "key").withColumn("part", part), "weighed")
+    remove(met)
+    head = F.max_by(F.struct("key", "size"), F.struct("weight", "key"))
+    heads = shared.groupBy("band").agg(head.alias("h"))
+    parts = shared.groupBy("band", "part").agg(head.alias("h"))
+    found_pairs = shared.join(heads, "band").select("h", "key", "size").union(shared.join(parts, ["band", "part"]).select("h", "key", "size"))
+    found_pairs = found_pairs.select(F.col("h.key").alias("a"), F.col("key").alias("b"), F.col("h.size").alias("m"), F.col("size").alias("k"))
     fits = (F.col("a") != F.col("b")) & (F.least("m", "k") >= F.lit(similarity) * F.greatest("m", "k") - 1e-9)
-    pairs = materialize(near.union(within).where(fits).select("a", "b").distinct(), "pairs")
+    pairs = materialize(found_pairs.where(fits).select("a", "b").distinct(), "pairs")
     owners = nodes.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = shared.select("key").distinct().join(owners, "key")
     sets = materialize(_sets(docs, wanted, n), "sets")
@@ -169,9 +194,10 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     labels = components(links)
     named = shared.select("band", "key", "size").join(labels.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("label", "key").alias("label"))
     open_ = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    rest = materialize(named.join(open_, "band"), "open")
-    one, two = rest.toDF("band", "a", "m", "la"), rest.toDF("band", "b", "k", "lb")
-    across = one.join(two, "band").where((F.col("la") < F.col("lb")) & (F.least("m", "k") >= F.lit(similarity) * F.greatest("m", "k") - 1e-9))
+    rest = materialize(named.join(open_, "band").join(sets.select("key", "parity"), "key").select("band", "key", "size", "label", "parity"), "open")
+    one, two = rest.toDF("band", "a", "m", "la", "pa"), rest.toDF("band", "b", "k", "lb", "pb")
+    alike = (F.least("m", "k") >= F.lit(similarity) * F.greatest("m", "k") - 1e-9) & may_reach(similarity, F.col("m"), F.col("k"), F.col("pa"), F.col("pb"))
+    across = one.join(two, "band").where((F.col("la") < F.col("lb")) & alike)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(_verified(across.join(tried, ["a", "b"], "left_anti"), sets, similarity), "verified")
