@@ -88,14 +88,15 @@ def context_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = lexicon.select_packs(docs, _packs(spark)).join(extra, "pack").join(_packs(spark).select("pack", "search_tag"), "pack")
     rows = [("en", 0, "ander", "Ander", "character"), ("en", 1, "thing", "Thing", "place"), ("en", 2, "reer", "Reer", ""), ("de", 0, "ein", "Ein", "place"), ("de", 1, "ver", "Ver", "character"), ("es", 0, "os", "Os", "event"), ("fr", 0, "eau", "Eau", "place"), ("fr", 1, "ou", "Ou", "odd")]
     spellings = spark.createDataFrame(rows, "pack string, entity_ord int, spelling string, canonical string, type string")
-    return analysis.merge_pack_context(docs, chosen, spellings)
+    merged = analysis.merge_pack_context(docs, chosen, spellings)
+    return merged.select("project", "franchise", "subject", "search_tag", *[F.array_join(c, "|").alias(c) for c in ("terminology", "characters", "places", "events")])
 
 
 def heuristic_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays = [F.array(*[F.lit(x) for x in v]).alias(k) for k, v in (("characters", CHARACTERS), ("places", PLACES), ("terminology", TERMS))]
     fixed = [F.lit("").alias("topic"), F.lit("").alias("interpretation"), F.when(F.col("project") % 7 == 0, "COMIC").otherwise("B_ROLL").alias("visual_intent"), F.lit(0.0).alias("confidence")]
     out = analysis.heuristic_analysis(_documents(spark, sf_dir).select("project", F.col("text").alias("narration"), *fixed, *arrays))
-    return out.select("project", "entities", "location", "topic", "interpretation", "visual_intent", "confidence")
+    return out.select("project", F.array_join("entities", "|").alias("entities"), "location", "topic", "interpretation", "visual_intent", "confidence")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backfill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.backfill_entities(_turns(spark, sf_dir)).select("project", "index", "entities")
+    return analysis.backfill_entities(_turns(spark, sf_dir)).select("project", "index", F.array_join("entities", "|").alias("entities"))
 
 
 def query_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +131,8 @@ def _list(xs: list[str]) -> str:
     return "[" + ", ".join(map(_q, xs)) + "]"
 
 
-_PACKS_SQL = "packs(pack, pack_ord, min_triggers, triggers) AS (VALUES " + ", ".join(f"('{p}', {o}, {m}, {_list(t)})" for p, o, m, t, _ in PACKS) + ")"
-_SELECTED_SQL = f"""{_PACKS_SQL},
-triggers AS (SELECT pack, pack_ord, min_triggers, unnest(triggers) AS trigger FROM packs),
-hits AS (SELECT doc_id AS project, pack, pack_ord, min_triggers, count(*) AS hits FROM documents JOIN triggers ON regexp_matches(text, '(?i)(^|{_L})' || trigger || '({_L}|$)') GROUP BY ALL),
+_HITS_SQL = " UNION ALL ".join(f"SELECT doc_id AS project, '{p}' AS pack, {o} AS pack_ord, {m} AS min_triggers FROM documents WHERE regexp_matches(text, '(?i)(^|{_L}){t}({_L}|$)')" for p, o, m, triggers, _ in PACKS for t in triggers)
+_SELECTED_SQL = f"""hits AS (SELECT project, pack, pack_ord, min_triggers, count(*) AS hits FROM ({_HITS_SQL}) GROUP BY ALL),
 selected AS (SELECT project, pack, hits, CAST(row_number() OVER (PARTITION BY project ORDER BY hits DESC, pack_ord) AS INTEGER) AS rank FROM hits WHERE hits >= min_triggers)"""
 
 
@@ -185,9 +184,9 @@ scalars AS (SELECT project, first(nullif(franchise, '') ORDER BY rank) FILTER (W
 spellings(pack, entity_ord, spelling, canonical, type) AS (VALUES ('en', 0, 'ander', 'Ander', 'character'), ('en', 1, 'thing', 'Thing', 'place'), ('en', 2, 'reer', 'Reer', ''), ('de', 0, 'ein', 'Ein', 'place'), ('de', 1, 'ver', 'Ver', 'character'), ('es', 0, 'os', 'Os', 'event'), ('fr', 0, 'eau', 'Eau', 'place'), ('fr', 1, 'ou', 'Ou', 'odd')),
 found AS (SELECT c.project, s.canonical, CASE s.type WHEN 'place' THEN 'places' WHEN 'event' THEN 'events' ELSE 'characters' END AS kind, min(c.rank * 100 + s.entity_ord) AS "at" FROM chosen c JOIN spellings s ON s.pack = c.pack AND (contains(c.low, s.spelling) OR contains(c.low, lower(s.canonical))) GROUP BY ALL),
 lists AS (SELECT project, coalesce(list(canonical ORDER BY "at") FILTER (WHERE kind = 'characters'), []) AS characters, coalesce(list(canonical ORDER BY "at") FILTER (WHERE kind = 'places'), []) AS places, coalesce(list(canonical ORDER BY "at") FILTER (WHERE kind = 'events'), []) AS events FROM found GROUP BY project)
-SELECT project, franchise, subject, search_tag, coalesce(terminology, []) AS terminology, characters, places, events FROM scalars LEFT JOIN term_lists USING (project) LEFT JOIN lists USING (project)""",
+SELECT project, franchise, subject, search_tag, array_to_string(coalesce(terminology, []), '|') AS terminology, array_to_string(characters, '|') AS characters, array_to_string(places, '|') AS places, array_to_string(events, '|') AS events FROM scalars LEFT JOIN term_lists USING (project) LEFT JOIN lists USING (project)""",
     "heuristic_intent": f"""WITH found AS (SELECT doc_id AS project, text, list_filter({_list(CHARACTERS)}, lambda x: contains(lower(text), lower(x))) AS c, list_filter({_list(PLACES)}, lambda x: contains(lower(text), lower(x))) AS p, list_filter({_list(TERMS)}, lambda x: contains(lower(text), lower(x))) AS t FROM documents)
-SELECT project, list_concat(c, t) AS entities, coalesce(p[1], '') AS location, array_to_string(regexp_extract_all(split_part(text, '.', 1), '[^\\x20\\x09-\\x0D]+')[1:12], ' ') AS topic,
+SELECT project, array_to_string(list_concat(c, t), '|') AS entities, coalesce(p[1], '') AS location, array_to_string(regexp_extract_all(split_part(text, '.', 1), '[^\\x20\\x09-\\x0D]+')[1:12], ' ') AS topic,
   CASE WHEN len(c) > 0 AND len(p) > 0 THEN c[1] || ' at ' || p[1] || '. Else a portrait of ' || c[1] || ' or a wide shot of ' || p[1] || '.' WHEN len(c) > 0 THEN c[1] || ' in this moment. Else a portrait or a known scene with them.'
     WHEN len(p) > 0 THEN 'Establishing shot of ' || p[1] || '. Else a wide shot.' ELSE 'No named subject; broad footage of the topic around it.' END AS interpretation,
   CASE WHEN project % 7 = 0 THEN 'COMIC' WHEN len(c) > 0 AND len(p) > 0 THEN 'GAME_SCENE' WHEN len(c) > 0 THEN 'CHARACTER' WHEN len(p) > 0 THEN 'LOCATION' ELSE 'B_ROLL' END AS visual_intent,
@@ -201,5 +200,5 @@ firsts AS (SELECT *, list_filter(runs, lambda r, i: list_position(list_transform
 own AS (SELECT *, CASE WHEN len(entities) > 0 THEN entities ELSE list_filter(names, lambda n: {_SEARCHABLE('n')})[1:3] END AS own FROM firsts),
 recent AS (SELECT *, CASE WHEN len(own) > 0 THEN list_filter(own, lambda n: {_SEARCHABLE('n')})[1:2] END AS recent FROM own),
 carried AS (SELECT *, last_value(recent IGNORE NULLS) OVER (PARTITION BY project ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM recent)
-SELECT project, index, CASE WHEN len(own) > 0 THEN own WHEN carried IS NOT NULL AND list_has_any(list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:12], lambda w: lower(trim(w, '.,;:!?"'''))), {_CONT}) THEN carried ELSE [] END AS entities FROM carried""",
+SELECT project, index, array_to_string(CASE WHEN len(own) > 0 THEN own WHEN carried IS NOT NULL AND list_has_any(list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:12], lambda w: lower(trim(w, '.,;:!?"'''))), {_CONT}) THEN carried ELSE [] END, '|') AS entities FROM carried""",
 }

@@ -57,7 +57,8 @@ def context_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = [F.array(F.lower("n_name"), F.lit("New"), F.lit("KNOWN")).alias(c) for c in ("terminology", "characters", "places", "events")]
     answers = n.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("project"), F.lit("Told").alias("franchise"), F.lit("Subject").alias("subject"), F.lit("tag").alias("search_tag"), *told)
     fixes = n.where("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("project"), F.lit(0.9).alias("confidence"), F.lit("x").alias("original"), F.lit("Resolved").alias("resolved"), F.lit(True).alias("applied"))
-    return analysis.add_resolved(analysis.fill_context(known, answers), fixes).select("project", "franchise", "subject", "search_tag", "terminology", "characters")
+    filled = analysis.add_resolved(analysis.fill_context(known, answers), fixes)
+    return filled.select("project", "franchise", "subject", "search_tag", F.array_join("terminology", "|").alias("terminology"), F.array_join("characters", "|").alias("characters"))
 
 
 def answers_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +165,7 @@ SELECT p_partkey, array_to_string(string_split(t, ' ')[1:3], ' ') || ' x' AS tag
     "thin_groups": "SELECT source AS project, count(DISTINCT text) AS kept FROM documents GROUP BY source HAVING count(DISTINCT text) < 49",
     "context_fill": """WITH n AS (SELECT n_nationkey AS project, n_name, n_nationkey % 2 = 0 AS even, n_nationkey % 3 <> 0 AS told FROM nation),
 l AS (SELECT *, list_concat(CASE WHEN even THEN [n_name, 'Known'] ELSE [] END, CASE WHEN NOT told THEN [] WHEN even THEN ['New'] ELSE [lower(n_name), 'New', 'KNOWN'] END) AS terminology FROM n)
-SELECT project, CASE WHEN even THEN n_name WHEN told THEN 'Told' END AS franchise, CASE WHEN told THEN 'Subject' END AS subject, CASE WHEN told THEN 'tag' END AS search_tag, terminology, CASE WHEN project % 4 = 0 THEN list_concat(terminology, ['Resolved']) ELSE terminology END AS characters FROM l""",
+SELECT project, CASE WHEN even THEN n_name WHEN told THEN 'Told' END AS franchise, CASE WHEN told THEN 'Subject' END AS subject, CASE WHEN told THEN 'tag' END AS search_tag, array_to_string(terminology, '|') AS terminology, array_to_string(CASE WHEN project % 4 = 0 THEN list_concat(terminology, ['Resolved']) ELSE terminology END, '|') AS characters FROM l""",
     "answers_applied": """SELECT p_brand AS project, p_partkey AS index, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'new' ELSE 'old' END AS topic, CASE WHEN p_partkey % 3 <> 0 THEN p_type ELSE '' END AS event, 'here' AS location,
   CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'COMIC' ELSE 'B_ROLL' END AS visual_intent, round(CASE WHEN p_partkey % 3 <> 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, p_size / 100.0::DOUBLE * 30)) ELSE 0.2::DOUBLE END, 6) AS confidence,
   CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN p_type ELSE 'Old' END AS entities, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 2 ELSE 0 END AS INTEGER) AS shots, CASE WHEN p_partkey % 3 <> 0 THEN p_size::DOUBLE END AS first_start FROM part""",
