@@ -164,9 +164,9 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     were copied from meets most. In each band's bucket every node is compared with the heaviest one and with the heaviest of its
     sixteenth of the bucket, by full shingle sets; pairs that reach the similarity are links, and components of links are classes. Only
     where a bucket still holds several classes are its pairs of unlike classes compared too, as far as sizes and parities let them reach
-    the similarity. So the classes
-    are exactly those that all pairs sharing a band would give, though within a class not all pairs are listed. n_links counts the links
-    found of a document's node, n_copies the documents of that node; class_id is the class's least doc_id (null if it has none).
+    the similarity. So the classes are exactly those that all pairs sharing a band would give, though within a class not all pairs are
+    listed. n_links counts the links found of a document's node, n_copies the documents of that node; class_id is the class's least
+    doc_id (null if it has none).
     A text without words (null and empty included) is a class of its own, without links. Repeated rows are copies; an empty table gives none.
     """
     bands, rows = choose_bands(similarity, recall)
