@@ -99,7 +99,7 @@ def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
             here = np.minimum(at + k, len(text))
             key = key << np.uint64(bits) | np.where(at + k <= stop, padded[here], np.uint64(0))
         base = rank[todo]
-        order = np.lexsort((key, base)) if shift else np.argsort(key, kind="stable")
+        order = np.lexsort((key, base)) if shift else np.argsort(key)
         sorted_base, sorted_key = base[order], key[order]
         fresh = np.ones(len(todo), bool)
         fresh[1:] = (sorted_base[1:] != sorted_base[:-1]) | (sorted_key[1:] != sorted_key[:-1])
@@ -121,7 +121,7 @@ def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
 def _double(names: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of the names in order, by their first `depth` names at least."""
     n = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     fresh = np.ones(n, bool)
     fresh[1:] = names[order[1:]] != names[order[:-1]]
     rank, h = _dense(order, fresh), 1
@@ -135,7 +135,7 @@ def _double(names: np.ndarray, depth: int) -> np.ndarray:
         items = order[places]
         beyond = np.where(items + h < n, rank[np.minimum(items + h, n - 1)] + 1, 0)
         key = rank[items] * (n + 1) + beyond
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[places] = items[by]
         key = key[by]
         new = np.ones(len(places), bool)
