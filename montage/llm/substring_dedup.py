@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shards_for, text_of
+from .common import materialize, pick, remove, shards_for, text_of
 from .induced_sort import suffix_sort
 
 #: Bytes of a window, of an anchor, of a longer anchor, of a shard's text; distinct segments of one anchor beyond which longer ones cut them.
@@ -65,24 +65,23 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(texts: list[bytes], grams: _Grams, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text number, first window, windows, anchor hash, segment hash) of each segment of the texts."""
-    pieces: list[tuple[int, int, bytes]] = []
-    for i, text in enumerate(texts):
-        for at in range(0, max(len(text) - window + 1, 0), _SPAN - window + 1):
-            pieces.append((i, at, text[at : at + _SPAN]))
+def segments(texts: list[bytes], grams: _Grams, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of (text number, first window, windows, anchor hash, segment hash) of the texts' segments, a group of texts at a time."""
     group: list[tuple[int, int, bytes]] = []
     size = 0
-    for piece in [*pieces, None]:
-        if group and (piece is None or size + len(piece[2]) > _SPAN):
-            yield from _segments_of(group, grams, window, gram)
-            group, size = [], 0
-        if piece is not None:
-            group.append(piece)
-            size += len(piece[2])
+    for i, text in enumerate(texts):
+        for at in range(0, max(len(text) - window + 1, 0), _SPAN - window + 1):
+            piece = text[at : at + _SPAN]
+            if group and size + len(piece) > _SPAN:
+                yield _segments_of(group, grams, window, gram)
+                group, size = [], 0
+            group.append((i, at, piece))
+            size += len(piece)
+    if group:
+        yield _segments_of(group, grams, window, gram)
 
 
-def _segments_of(group: list[tuple[int, int, bytes]], grams: _Grams, window: int, gram: int) -> Iterator[tuple[int, int, int, int, int]]:
+def _segments_of(group: list[tuple[int, int, bytes]], grams: _Grams, window: int, gram: int) -> tuple[np.ndarray, ...]:
     joined = b"".join(p[2] for p in group)
     data = np.frombuffer(joined, "u1")
     lengths = np.array([len(p[2]) for p in group])
@@ -91,20 +90,20 @@ def _segments_of(group: list[tuple[int, int, bytes]], grams: _Grams, window: int
     # the place in the low bits makes the leftmost of equal grams the least; content alone decides, as places grow with windows
     low = np.uint64(_SPAN - 1)
     least = _sliding_least((h & ~low) | np.arange(len(h), dtype="u8"), window - gram + 1)
-    anchor = (least & low).astype("i8")
+    anchor = (least & low).astype("i4")
     counts = lengths - window + 1
-    windows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
-    owner = np.repeat(np.arange(len(group)), counts)
+    owner = np.repeat(np.arange(len(group), dtype="i4"), counts)
+    windows = np.arange(counts.sum()) + (starts - (np.cumsum(counts) - counts))[owner]
     anchor = anchor[windows]
     fresh = np.ones(len(windows), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(fresh)
     spans = np.diff(np.append(first, len(windows)))
-    hashes = h[anchor[first]].view("i8")
+    begin, whose = windows[first], owner[first]
     digest = xxhash.xxh3_64_intdigest
-    for f, n, a, o in zip(windows[first].tolist(), spans.tolist(), hashes.tolist(), owner[first].tolist()):
-        d = digest(joined[f : f + n - 1 + window])
-        yield group[o][0], group[o][1] + f - int(starts[o]), n, a, d - (1 << 64) if d >= 1 << 63 else d
+    digests = np.fromiter((digest(joined[f:t]) for f, t in zip(begin.tolist(), (begin + spans + window - 1).tolist())), "u8", len(first))
+    text_of_piece, place_of_piece = np.array([p[0] for p in group]), np.array([p[1] for p in group])
+    return text_of_piece[whose], place_of_piece[whose] + begin - starts[whose], spans, h[anchor[first]].view("i8"), digests.view("i8")
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
@@ -114,9 +113,9 @@ def _occurrences(texts: DataFrame) -> DataFrame:
         grams = _Grams()
         for batch in batches:
             refs, data = batch.column(0).to_numpy(), [v.as_py() for v in batch.column(1).cast(pa.large_binary())]
-            rows = np.array(list(segments(data, grams)), "i8").reshape(-1, 5)
-            columns = [refs[rows[:, 0]], rows[:, 1], rows[:, 2].astype("i2"), rows[:, 3], rows[:, 4]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ref", "first", "windows", "anchor", "segment"])
+            for text, first, n, anchor, segment in segments(data, grams):
+                columns = [refs[text], first.astype("i8"), n.astype("i2"), anchor, segment]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ref", "first", "windows", "anchor", "segment"])
 
     return texts.select("ref", "text").mapInArrow(run, "ref long, first long, windows short, anchor long, segment long")
 
@@ -174,7 +173,8 @@ def _cut_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams = _Grams()
     for batch in batches:
         data, refs, firsts, single = (batch.column(i).to_pylist() for i in range(4))
-        rows = [(data[i][f : f + n - 1 + WINDOW], refs[i], firsts[i] + f, single[i], a, d) for i, f, n, a, d in segments(data, grams, WINDOW, LONG_GRAM)]
+        found = (zip(*(c.tolist() for c in part)) for part in segments(data, grams, WINDOW, LONG_GRAM))
+        rows = [(data[i][f : f + n - 1 + WINDOW], refs[i], firsts[i] + f, single[i], a, d) for part in found for i, f, n, a, d in part]
         columns = list(zip(*rows, strict=True)) or [()] * 6
         kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bytes", "ref", "first", "single", "anchor", "segment"])
@@ -220,8 +220,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """docs: ref, text. Returns ref, ranges: the byte ranges of repeated windows of each text that occurs once."""
     occurrences = materialize(_occurrences(docs), "segments")
-    often = occurrences.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table of its own: a join of two plain tables can be split where an anchor is hot, one with an aggregate in its stage cannot
+    often = materialize(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     candidates = materialize(occurrences.join(often, "anchor"), "candidates")
+    remove(often)
+    remove(occurrences)
     distinct = candidates.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("ref", "first", "windows")).alias("at"))
     distinct = materialize(distinct, "distinct")
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
