@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,23 +35,28 @@ def exact_duplicates(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.withColumn("keeper", F.first("path").over(order)).withColumn("duplicate", F.col("keeper") != F.col("path"))
 
 
-def bands(column: Column, distance: int) -> list[Column]:
-    """The hash cut into distance + 1 bit strings: hashes within the distance agree on one of them at least."""
+def bands(column: Column, distance: int, equal: int = 2) -> list[Column]:
+    """Keys such that hashes within the distance share one at least.
+
+    Of distance + equal blocks of bits, `equal` must agree; each choice of so many blocks is a key. More blocks mean more keys, each of
+    more bits: 28 of 16 bits for a distance of 6 and 2 equal blocks, 210 of 25 bits for 4, which billions of hashes need.
+    """
     bits = F.lpad(F.conv(column, 16, 2), 64, F.lit("0"))
-    edges = np.linspace(0, 64, distance + 2).round().astype(int)
-    return [F.concat(F.lit(f"{i}:"), F.substring(bits, int(a) + 1, int(b - a))) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    edges = np.linspace(0, 64, distance + equal + 1).round().astype(int)
+    blocks = [F.substring(bits, int(a) + 1, int(b - a)) for a, b in zip(edges, edges[1:])]
+    return [F.concat(F.lit(f"{i}:"), *[blocks[k] for k in chosen]) for i, chosen in enumerate(combinations(range(len(blocks)), equal))]
 
 
-def near_pairs(records: DataFrame, id_column: str, hash_column: str, distance: int = DEFAULTS.hamming_distance) -> DataFrame:
+def near_pairs(records: DataFrame, id_column: str, hash_column: str, distance: int = DEFAULTS.hamming_distance, equal: int = 2) -> DataFrame:
     """a, b, distance of all pairs of unlike hashes within the distance, and of equal hashes through their least id.
 
-    An equi-join on bands of bits has every such pair; equal hashes are one node, so a mass of copies makes no pairs among themselves.
+    An equi-join on keys of bits has every such pair; equal hashes are one node, so a mass of copies makes no pairs among themselves.
     """
     nodes = records.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("h")).agg(F.min(id_column).alias("id"))
-    banded = nodes.select("id", "h", F.explode(F.array(*bands(F.col("h"), distance))).alias("band"))
+    banded = nodes.select("id", "h", F.explode(F.array(*bands(F.col("h"), distance, equal))).alias("band"))
     x, y = banded.toDF("a", "ha", "band"), banded.toDF("b", "hb", "band")
     d = T.hamming(F.col("ha"), F.col("hb"))
-    unlike = x.join(y, "band").where(F.col("a") < F.col("b")).select("a", "b", d.alias("distance")).where(F.col("distance") <= distance).distinct()
+    unlike = x.join(y, (x.band == y.band) & (F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
     copies = records.select(F.col(id_column).alias("b"), F.col(hash_column).alias("h")).join(nodes, "h").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b", F.lit(0).alias("distance"))
     return unlike.union(copies)
 
