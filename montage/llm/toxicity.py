@@ -33,7 +33,7 @@ class Field:
     floor: float = 0.05
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over rows of scores (state 1 against 0): P(state 1), expected moves, log of the partition function.
 
     Positions at or beyond a row's length have probability 0.
@@ -54,6 +54,8 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tup
         backward[:, i] = np.where(inside[:, i + 1 : i + 2], step, backward[:, i + 1])
     total = log_add(forward[:, -1, 0], forward[:, -1, 1])
     p = np.exp(np.clip(forward[:, :, 1] + backward[:, :, 1] - total[:, None], -700, 0)) * inside
+    if not pairs:
+        return p, np.zeros((2, 2)), total
     pair = forward[:, :-1, :, None] + moves + (unary + backward)[:, 1:, None, :] - total[:, None, None, None]
     expected = (np.exp(np.clip(pair, -700, 0)) * inside[:, 1:, None, None]).sum((0, 1)) if t > 1 else np.zeros((2, 2))
     return p, expected, total
@@ -68,25 +70,35 @@ def _summary(p: np.ndarray, n: int) -> np.ndarray:
     return np.array([1.0, np.log1p(p.sum()), p.max(initial=0.0), p.sum() / max(n, 1)])
 
 
-def word_marginals(model: Field, words: list[str], quiet: dict[int, np.ndarray]) -> np.ndarray:
-    """P(toxic) of each word. Chains in which no word has a weight differ in length alone and are worked out once for each."""
-    get, out = model.words.get, np.zeros(len(words))
-    weights = np.fromiter((get(w, 0.0) for w in words), float, len(words))
-    busy = []
-    for i, j in chains(words):
-        if weights[i:j].any():
-            busy.append((i, j))
-        else:
-            if j - i not in quiet:
-                quiet[j - i] = marginals(np.full((1, j - i), model.bias), np.array([j - i]), model.moves)[0][0]
-            out[i:j] = quiet[j - i]
-    if busy:
-        scores = np.zeros((len(busy), CHAIN))
-        for k, (i, j) in enumerate(busy):
-            scores[k, : j - i] = weights[i:j] + model.bias
-        p = marginals(scores, np.array([j - i for i, j in busy]), model.moves)[0]
-        for k, (i, j) in enumerate(busy):
-            out[i:j] = p[k, : j - i]
+def word_marginals(model: Field, documents: list[list[str]], quiet: dict[int, np.ndarray], at_once: int = 4096) -> list[np.ndarray]:
+    """P(toxic) of each word of each document.
+
+    Chains in which no word has a weight differ in length alone and are worked out once for each length; the others of all documents go
+    through forward-backward together, so many at once.
+    """
+    get, out, busy = model.words.get, [], []
+    for k, words in enumerate(documents):
+        weights = np.fromiter((get(w, 0.0) for w in words), float, len(words))
+        p = np.zeros(len(words))
+        told = np.flatnonzero(weights)
+        heavy = set((told // CHAIN).tolist())
+        for i, j in chains(words):
+            if i // CHAIN in heavy:
+                busy.append((k, i, j, weights[i:j] + model.bias))
+            else:
+                if j - i not in quiet:
+                    quiet[j - i] = marginals(np.full((1, j - i), model.bias), np.array([j - i]), model.moves)[0][0]
+                p[i:j] = quiet[j - i]
+        out.append(p)
+    busy.sort(key=lambda b: b[2] - b[1])
+    for start in range(0, len(busy), at_once):
+        part = busy[start : start + at_once]
+        lengths = np.array([j - i for _, i, j, _ in part])
+        scores = np.zeros((len(part), lengths.max()))
+        for row, (_, _, _, w) in zip(scores, part, strict=True):
+            row[: len(w)] = w
+        for row, (k, i, j, _) in zip(marginals(scores, lengths, model.moves, pairs=False)[0], part, strict=True):
+            out[k][i:j] = row[: j - i]
     return out
 
 
@@ -155,7 +167,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 40) -> Field:
     model.words = {x: float(w[k]) for x, k in vocabulary.items() if abs(w[k]) >= model.floor}
     model.bias, model.moves = float(bias), moves
     quiet: dict[int, np.ndarray] = {}
-    x = np.array([_summary(word_marginals(model, t, quiet), len(t)) for t in tokens])
+    x = np.array([_summary(p, len(p)) for p in word_marginals(model, tokens, quiet)])
     a = np.zeros(4)
     for _ in range(60):  # Newton's steps with a light penalty
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
@@ -190,6 +202,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     return fit([r.text for r in got], [r.toxic for r in got])
 
 
+def _spans(lower: str, p: np.ndarray) -> list[dict]:
+    """Runs of words likelier toxic than not. Lower-casing a few letters changes their number; offsets are those in the lower-cased text."""
+    found: list[dict] = []
+    if len(p) and p.max() >= 0.5:
+        last = -2
+        for k, m in enumerate(_TOKEN.finditer(lower)):
+            if p[k] >= 0.5:
+                if last == k - 1:
+                    found[-1]["end"] = m.end()
+                else:
+                    found.append({"start": m.start(), "end": m.end()})
+                last = k
+    return found
+
+
 def tag_toxic(docs: DataFrame, model: Field) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, and spans (start and end in characters) of words that are likelier toxic than not.
 
@@ -203,24 +230,11 @@ def tag_toxic(docs: DataFrame, model: Field) -> DataFrame:
         model, quiet = Field(*shared.value), {}
         for batch in batches:
             scores, spans = [], []
-            for value in batch.column(1):
-                text = value.as_py()
-                lower = text.lower()
-                words = _TOKEN.findall(lower)
-                p = word_marginals(model, words, quiet)
-                scores.append(float(1 / (1 + np.exp(-np.clip(_summary(p, len(words)) @ model.logit, -30, 30)))))
-                found: list[dict] = []
-                if len(p) and p.max() >= 0.5:
-                    # lower-casing a few letters changes their number; offsets are then those in the lower-cased text
-                    last = -2
-                    for k, m in enumerate(_TOKEN.finditer(lower)):
-                        if p[k] >= 0.5:
-                            if last == k - 1:
-                                found[-1]["end"] = m.end()
-                            else:
-                                found.append({"start": m.start(), "end": m.end()})
-                            last = k
-                spans.append(found)
+            for begin in range(0, batch.num_rows, 256):  # the words of so many texts at once
+                lowered = [value.as_py().lower() for value in batch.column(1).slice(begin, 256)]
+                for lower, p in zip(lowered, word_marginals(model, [_TOKEN.findall(t) for t in lowered], quiet), strict=True):
+                    scores.append(float(1 / (1 + np.exp(-np.clip(_summary(p, len(p)) @ model.logit, -30, 30)))))
+                    spans.append(_spans(lower, p))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
