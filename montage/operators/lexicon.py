@@ -147,3 +147,16 @@ def packs_from_yaml(spark: SparkSession, documents: list[tuple[str, dict]]) -> t
             for k, spelling in enumerate(entity.get("aliases") or []):
                 spellings.append((pack, order, e, k, str(spelling), str(entity["canonical"]), str(entity.get("type") or ""), float(entity.get("confidence", 0.8)), str(entity.get("reason") or ""), [str(x) for x in entity.get("evidence") or []]))
     return spark.createDataFrame(packs, PACKS), spark.createDataFrame(spellings, SPELLINGS)
+
+
+def overrides_from_mapping(spark: SparkSession, document: dict | None) -> tuple[DataFrame, DataFrame]:
+    """A parsed overrides file (corrections: items with original and resolved; never_correct: names) -> tables (key, resolved) and (key).
+
+    Of several items for one name the last counts; broken items, and a file that is no mapping, are left out.
+    """
+    key = lambda name: " ".join(str(name).lower().split())
+    document = document if isinstance(document, dict) else {}
+    items = [i for i in document.get("corrections") or [] if isinstance(i, dict) and i.get("original") and i.get("resolved")]
+    fixed = {key(i["original"]): str(i["resolved"]) for i in items}
+    never = {key(n) for n in document.get("never_correct") or []}
+    return spark.createDataFrame(sorted(fixed.items()), "key string, resolved string"), spark.createDataFrame([(n,) for n in sorted(never)], "key string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, control, dedupe, deliver, lexicon, locate, politeness, rank, search, words
+from ..operators import analysis, control, dedupe, deliver, gather, lexicon, locate, politeness, rank, search, words
 from .entities import query_build
 from .media import _records
 from .tables import load
@@ -142,11 +142,28 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_tags(F.col("html"))).alias("digest"))
 
 
+def prefetch_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as candidates that are refused before their bytes are looked at."""
+    k = F.col("page_id")
+    pages = load(spark, sf_dir, "pages").select(
+        gather.prefetch_rejection(
+            F.concat("url", F.when(k % 9 == 0, ".SVG").otherwise("")), F.when(k % 4 != 0, k % 7 != 0), F.when(k % 11 == 0, "timeout"), F.when(k % 5 == 0, "text/html").when(k % 5 == 1, "Image/PNG"), F.when(k % 13 == 0, "../x").otherwise("x/y"), k % 17 == 0
+        ).alias("reason")
+    )
+    return pages.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def provider_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = load(spark, sf_dir, "orders").select(F.lit("p").alias("project"), F.col("o_orderkey").alias("index"), F.lit("ok").alias("status"), F.array(F.lit("note")).alias("notes"))
+    failures = load(spark, sf_dir, "lineitem").where("l_tax > 0.06").select(F.lit("p").alias("project"), F.col("l_orderkey").alias("index"), F.concat(F.lit("provider"), (F.col("l_linenumber") % 3).cast("string")).alias("provider"), F.lit("timeout").alias("error"))
+    return gather.with_failures(seg, failures).select("index", "status", F.array_join("notes", "|").alias("notes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         transcript_words, build_prompts, subject_tags, thin_groups, thin_segments, context_fill, answers_applied, model_resolutions, complete_segments, segment_replaced, robots, disk_grants, next_stages, clip_reasons, project_report, segment_names,
-        cells, page_texts,
+        cells, page_texts, prefetch_reasons, provider_failures,
     )
 }
 
@@ -190,4 +207,8 @@ SELECT project, segments, degraded, coalesce(files, 0) AS files, coalesce(clips,
     "cells": """WITH c AS (SELECT doc_id, n_chars / 2.0::DOUBLE AS s, replace(regexp_replace(coalesce(text, ''), '[\\s\\x0B]+', ' ', 'g'), '|', '\\|') AS t FROM documents)
 SELECT doc_id, md5(CASE WHEN length(t) > 80 THEN rtrim(substr(t, 1, 79)) || '…' ELSE t END) AS digest, CASE WHEN s < 60 THEN printf('%.1f s', s) WHEN s < 3600 THEN printf('%d m %02d s', CAST(trunc(s) AS BIGINT) // 60, CAST(trunc(s) AS BIGINT) % 60) ELSE printf('%d h %02d m', CAST(trunc(s) AS BIGINT) // 3600, CAST(trunc(s) AS BIGINT) % 3600 // 60) END AS duration FROM c""",
     "page_texts": f"SELECT page_id, md5(trim(regexp_replace({_ENTITIES}, '[\\s\\x0B]+', ' ', 'g'))) AS digest FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages)",
+    "prefetch_reasons": """WITH p AS (SELECT page_id AS k, lower(split_part(url || CASE WHEN page_id % 9 = 0 THEN '.SVG' ELSE '' END, '?', 1)) AS u FROM pages)
+SELECT CASE WHEN k % 17 = 0 THEN 'duplicate_url' WHEN suffix(u, '.svg') THEN 'svg' WHEN k % 4 <> 0 AND k % 7 = 0 THEN 'robots' WHEN k % 11 = 0 THEN 'transport' WHEN k % 5 = 0 THEN 'bad_content_type' WHEN k % 13 = 0 THEN 'path_escape' END AS reason, count(*) AS n FROM p GROUP BY 1""",
+    "provider_failures": """WITH f AS (SELECT DISTINCT l_orderkey AS index, 'provider' || (l_linenumber % 3) || ' failed: timeout' AS note FROM lineitem WHERE l_tax > 0.06::DOUBLE), g AS (SELECT index, string_agg(note, '|' ORDER BY note) AS notes FROM f GROUP BY index)
+SELECT o_orderkey AS index, CASE WHEN g.index IS NULL THEN 'ok' ELSE 'degraded' END AS status, 'note' || coalesce('|' || g.notes, '') AS notes FROM orders LEFT JOIN g ON g.index = o_orderkey""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..params import DEFAULTS
@@ -65,3 +65,22 @@ def limit_hosts(requests: DataFrame) -> DataFrame:
         state.update((allowed, factor))
 
     return requests.groupBy("host").applyInPandasWithState(run, "host string, at_ms long, wait_ms long", "allowed long, factor double", "append", GroupStateTimeout.NoTimeout)
+
+
+class Heartbeat(StreamingQueryListener):
+    """Calls beat(name, batch, rows) whenever a stream makes progress or finds nothing to do, and beat(name, None, None) when it ends."""
+
+    def __init__(self, beat: Callable[[str | None, int | None, int | None], None]):
+        self.beat, self.names = beat, {}
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.id)] = event.name
+
+    def onQueryProgress(self, event) -> None:
+        self.beat(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self.beat(self.names.get(str(event.id)), None, 0)
+
+    def onQueryTerminated(self, event) -> None:
+        self.beat(self.names.pop(str(event.id), None), None, None)

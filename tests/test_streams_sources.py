@@ -68,3 +68,30 @@ def test_replacing_a_segment_keeps_clips(spark):
 @pytest.mark.parametrize(("c", "band"), [(0.95, "high"), (0.85, "high"), (0.849, "medium"), (0.60, "medium"), (0.59, "low"), (0.0, "low")])
 def test_bands(spark, c, band):
     assert spark.range(1).select(deliver.confidence_band(F.lit(c)).alias("b")).first().b == band
+
+
+def test_heartbeat_hears_of_progress_and_end(spark, tmp_path):
+    beats = []
+    listener = watch.Heartbeat(lambda name, batch, rows: beats.append((name, batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        spark.range(3).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        stream.writeStream.queryName("pulse").format("noop").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        import time
+
+        for _ in range(50):
+            if ("pulse", None, None) in beats:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert ("pulse", 0, 3) in beats and ("pulse", None, None) in beats
+
+
+def test_overrides(spark):
+    from montage.operators import lexicon
+
+    fixed, never = lexicon.overrides_from_mapping(spark, {"corrections": [{"original": " Val  RON", "resolved": "Vowrawn"}, {"original": "x"}, "odd"], "never_correct": ["Baras"]})
+    assert [tuple(r) for r in fixed.collect()] == [("val ron", "Vowrawn")] and [r.key for r in never.collect()] == ["baras"]
+    assert lexicon.overrides_from_mapping(spark, None)[0].count() == 0
