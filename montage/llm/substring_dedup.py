@@ -23,7 +23,7 @@ from .common import materialize, pick, remove, shards_for, text_of
 from .induced_sort import suffix_sort
 
 #: Bytes of a window, of an anchor, of a longer anchor, of a shard's text; distinct segments of one anchor beyond which longer ones cut them.
-WINDOW, GRAM, LONG_GRAM, SHARD_BYTES, HOT_SEGMENTS = 200, 50, 185, 4_000_000, 256
+WINDOW, GRAM, LONG_GRAM, SHARD_BYTES, HOT_SEGMENTS = 200, 50, 185, 1_500_000, 256
 _SPAN = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
