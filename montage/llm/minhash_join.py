@@ -18,6 +18,8 @@ from .components import components
 NGRAM, SIMILARITY, RECALL, MOST_HASHES, SEED = 5, 0.8, 0.99, 256, 20_231
 #: Cells of a set's parity.
 CELLS = 1024
+#: Nodes and shingles of a class's part on average, where links are counted; columns of a block's matrix.
+PART_NODES, PART_GRAMS, WIDTH = 512, 500_000, 4096
 
 _WORD = re.compile(WORD)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -157,16 +159,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = NGRAM) -> DataFrame:
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of x has in common with each set of y (sets of distinct hashes)."""
+    both = [*x, *y]
+    if not x or not y or not any(map(len, both)):
+        return np.zeros((len(x), len(y)))
+    cells, rows = np.concatenate(both), np.repeat(np.arange(len(both)), [len(s) for s in both])
+    order = np.argsort(cells, kind="stable")
+    cells, rows = cells[order], rows[order]
+    new = np.concatenate([[True], cells[1:] != cells[:-1]])
+    column = np.cumsum(new) - 1
+    twice = np.bincount(column) > 1  # a hash of one set alone is in no intersection
+    rows, column = rows[twice[column]], (np.cumsum(twice) - 1)[column[twice[column]]]
+    out = np.zeros((len(x), len(y)))
+    for at in range(0, int(twice.sum()), WIDTH):
+        i, j = np.searchsorted(column, [at, at + WIDTH])
+        held = np.zeros((len(both), WIDTH), "f4")  # exact: sums of at most WIDTH ones
+        held[rows[i:j], column[i:j] - at] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out
+
+
+def _degrees(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """key, n_links: for each node with a link, the nodes that share a band with it and whose shingle sets reach the similarity.
+
+    Links lie within classes. A class is dealt to parts by a hash; each two parts (and each part with itself) are a block, which compares
+    all its pairs at once and gives one number a node. Rows of sets that repeat (as their ids do) count once. In a class of two nodes each has one link.
+    """
+    bands = shared.groupBy("key").agg(F.first("size").alias("size"), F.collect_list("band").alias("bands"))
+    members = materialize(bands.join(labels.withColumnRenamed("node", "key"), "key"), "members")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(PART_NODES), F.sum("size") / F.lit(PART_GRAMS))).cast("int").alias("parts")
+    held = members.groupBy("label").agg(F.count("*").alias("k"), parts)
+    dealt = members.join(held, "label")
+    dealt = dealt.select("key", "label", "bands", "k", "parts", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("own"))
+    many = dealt.where("k > 2").join(sets.select("key", "grams").dropDuplicates(["key"]), "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = many.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "bands", "grams")
+
+    def run(block: pa.Table) -> pa.Table:
+        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        own = block.column("own").to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        grams = [np.frombuffer(g.as_buffer(), "u8") for g in block.column("grams")]
+        bands = [np.array(b, "i8") for b in block.column("bands").to_pylist()]
+        size = np.array([len(g) for g in grams])
+        common = common_counts([grams[k] for k in left], [grams[k] for k in right])
+        linked = common >= similarity * (size[left][:, None] + size[right] - common) - 1e-9
+        linked &= common_counts([bands[k] for k in left], [bands[k] for k in right]) > 0
+        n = np.zeros(len(own), "i8")
+        if i == j:
+            np.fill_diagonal(linked, False)
+        else:
+            n[right] = linked.sum(axis=0)
+        n[left] += linked.sum(axis=1)
+        return pa.table({"key": block.column("key"), "n": pa.array(n)})
+
+    counted = blocks.groupBy("label", "i", "j").applyInArrow(run, "key binary, n long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n_links")).union(dealt.where("k = 2").select("key", F.lit(1).cast("long")))
+
+
+def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = NGRAM, count_links: bool = True) -> DataFrame:
     """Per document: doc_id, class_id, n_links, n_copies, n_shingles.
 
     Documents with equal shingle sets are one node. A node's weight is the number of nodes that it meets in buckets: a text that others
     were copied from meets most. In each band's bucket every node is compared with the heaviest one and with the heaviest of its
     sixteenth of the bucket, by full shingle sets; pairs that reach the similarity are links, and components of links are classes. Only
     where a bucket still holds several classes are its pairs of unlike classes compared too, as far as sizes and parities let them reach
-    the similarity. So the classes are exactly those that all pairs sharing a band would give, though within a class not all pairs are
-    listed. n_links counts the links found of a document's node, n_copies the documents of that node; class_id is the class's least
-    doc_id (null if it has none).
+    the similarity. So the classes are exactly those that all pairs sharing a band would give. n_links counts all links of a document's node: the
+    nodes that share a band with it and reach the similarity, each pair of a class being compared (without count_links it is null);
+    n_copies counts the documents of that node; class_id is the class's least doc_id (null if it has none).
     A text without words (null and empty included) is a class of its own, without links. Repeated rows are copies; an empty table gives none.
     """
     bands, rows = choose_bands(similarity, recall)
@@ -204,24 +264,24 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     if more.limit(1).count():
         links = materialize(links.union(more), "verified")
         labels = components(links)
+    empty = F.lit(0 if count_links else None).cast("long")
+    degree = materialize(_degrees(shared, labels, sets, similarity), "degrees") if count_links else labels.select(F.col("node").alias("key"), empty.alias("n_links"))
     remove(sets)
-    both = links.select("a", "b").union(links.select("b", "a"))
-    degree = both.distinct().groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n_links"))
     sizes = nodes.groupBy("key").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("least"))
     named = sizes.join(labels.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = materialize(named, "nodes")
     classes = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    about = named.join(classes, "label").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    about = named.join(classes, "label").select("key", "class_id", "n_links", "n_copies")
     return (
         found.select("doc_id", F.col("key").alias("k"), "size")
         .join(about, F.col("k") == F.col("key"), "left")
-        .select("doc_id", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("size").cast("long").alias("n_shingles"))
+        .select("doc_id", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", empty).alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("size").cast("long").alias("n_shingles"))
     )
 
 
 def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents whose doc_id is their class's least, once each; texts without words all stay."""
-    found = materialize(jaccard_classes(docs, similarity), "classes")
+    found = materialize(jaccard_classes(docs, similarity, count_links=False), "classes")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
     out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids repeat: so may rows

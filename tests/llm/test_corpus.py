@@ -329,6 +329,28 @@ def test_jaccard_classes(spark, odd, none):
     assert minhash_join.jaccard_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("part", [512, 7])
+def test_links_are_all_counted(spark, monkeypatch, part):
+    monkeypatch.setattr(minhash_join, "PART_NODES", part, raising=False)
+    rng, docs = random.Random(31), []
+    for family in range(3):
+        base = prose(700 + family, 150).split()
+        for k in range(2 if family == 2 else 40):
+            words = list(base)
+            for _ in range(0 if k == 0 else 1 if family == 0 else rng.choice([1, 2, 4, 5])):
+                words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+            docs += [(100 * family + k, " ".join(words), "en", "s", 1, None, None)] * (2 if k == 5 else 1)
+    sketch, hashes = minhash_join.Sketch(*minhash_join.choose_bands()), minhash_join._Hashes()
+    sets = {d[0]: minhash_join.shingles(d[1], hashes) for d in docs}
+    bands = {i: set(sketch(s).tolist()) for i, s in sets.items()}
+    want = {}
+    for a, x in sets.items():
+        want[a] = sum(1 for b, y in sets.items() if a != b and bands[a] & bands[b] and (c := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - c) - 1e-9)
+    got = minhash_join.jaccard_classes(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((d[0], want[d[0]]) for d in docs)
+    assert all(want[k] == 39 for k in range(40)) and len({want[100 + k] for k in range(40)}) > 1
+
+
 def test_parity_never_rules_out_a_match():
     rng = np.random.default_rng(2)
     for n in (5, 200, 5000):
