@@ -1,6 +1,6 @@
-"""License scans: key phrases, and license texts found by their rarest words at fitting positions. DataFrame operations alone.
+"""License scans: key phrases, and license texts found by their words at fitting positions. DataFrame operations alone.
 
-Everything but the document frequencies happens within a row: no row identity, shuffle or join is needed.
+Everything happens within a row: no row identity, shuffle or join is needed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ TEMPLATES = {
 }
 #: Parts of words one of which stands in every base phrase and in one key phrase at least of every template.
 MARKS = ("licens", " cc by ", " rights reserved ", " hereby granted ", "redistribution and use", " waived all copyright ")
-#: Rarest license words of a file that are looked up; of these, words that must fit a template at one offset.
+#: Rarest license words of a file that the SQL looks up (the operator looks up all); words that must fit a template at one offset.
 RAREST, AGREE = 8, 2
 
 #: Characters that end a word once A-Z are lower-cased.
@@ -47,12 +47,6 @@ def vocabulary() -> list[str]:
     return sorted({w for text, _ in TEMPLATES.values() for w in text.split()})
 
 
-def document_frequencies(normal: DataFrame) -> dict[str, int]:
-    """In how many documents each word of the templates stands: at most as many numbers as the templates have words."""
-    words = F.array_intersect(F.split("normal", " "), F.array(*[F.lit(w) for w in vocabulary()]))
-    return {r.word: r.n for r in normal.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-
-
 def _must(template: str) -> Column:
     out = F.lit(True)
     for p in TEMPLATES[template][1]:
@@ -69,39 +63,35 @@ def _has(phrase: str) -> Column:
 
 
 def _offsets(template: str) -> Column:
-    """Places of the file's rarest words (spots: word, places) less their places in the template."""
+    """Places of the template's words in the file less their places in the template, sorted."""
     words = TEMPLATES[template][0].split()
     places = F.create_map(*[x for w in sorted(set(words)) for x in (F.lit(w), F.array(*[F.lit(i) for i, v in enumerate(words) if v == w]))])
-    known = F.filter("spots", lambda s: F.array_contains(F.array(*[F.lit(w) for w in sorted(set(words))]), s["word"]))
-    return F.flatten(F.transform(known, lambda s: F.flatten(F.transform(s["places"], lambda p: F.transform(F.element_at(places, s["word"]), lambda q: p - q)))))
+    return F.array_sort(F.flatten(F.filter(F.transform("words", lambda v, p: F.transform(F.try_element_at(places, v), lambda q: p - q)), lambda x: x.isNotNull())))
 
 
-def _votes(offsets: str) -> Column:
-    """The offset that most rare words agree on, the smallest of equals: votes and minus (the offset's negative)."""
-    return F.array_max(F.transform(F.array_distinct(offsets), lambda d: F.struct(F.size(F.filter(offsets, lambda x: x == d)).alias("votes"), (-d).alias("minus"))))
+def _starts(offsets: str) -> Column:
+    """Where runs of equal offsets start."""
+    o = F.col(offsets)
+    return F.filter(F.transform(o, lambda x, k: F.when((k == 0) | (F.get(o, F.greatest(k - 1, F.lit(0))) != x), k)), lambda k: k.isNotNull())
 
 
-def _share(template: str, votes: str) -> Column:
-    """Share of the template's words that stand in the file where the offset puts them; null if too few rare words agree on it."""
-    words = TEMPLATES[template][0].split()
-    own, file, start = F.array(*[F.lit(w) for w in words]), F.col("words"), -F.col(votes)["minus"]
-    fits = F.filter(F.sequence(F.lit(0), F.lit(len(words) - 1)), lambda i: F.coalesce(F.get(file, F.when(start + i >= 0, start + i)) == F.get(own, i), F.lit(False)))
-    return F.when(F.coalesce(F.col(votes)["votes"] >= AGREE, F.lit(False)), F.size(fits) / F.lit(float(len(words))))
+def _share(template: str, offsets: str, starts: str) -> Column:
+    """Share of the template's words that stand in the file where the best offset puts them; null if too few agree on any."""
+    o, s = F.col(offsets), F.col(starts)
+    votes = F.array_max(F.transform(s, lambda k, i: F.coalesce(F.get(s, i + 1), F.size(o)) - k))
+    return F.when(votes >= AGREE, votes / F.lit(float(len(TEMPLATES[template][0].split()))))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base labels are those of the phrases whose words stand consecutively. For the method, a file's rarest words (by document frequency,
-    then the word) that templates have are looked up; their places less their places in a template must agree on an offset, and the
-    template's key phrases must all stand in the file. score is the share of the best template's words found at its offset; a base phrase
-    is found whole, so its score is 1. The scan of positions is skipped where a template's first key phrase is missing, which would be
-    rejected anyway. A null text has no words; words repeat and texts grow without bound on either; rows are independent, so repeated ones
-    and an empty table give what they hold.
+    Base labels are those of the phrases whose words stand consecutively. For the method, all of a template's words are looked up in a
+    file that has the template's key phrases; their places less their places in the template must agree on an offset. So what else the
+    file holds, and how often words stand in other files, decides nothing. score is the share of the best template's words found at the
+    offset that most agree on; a base phrase is found whole, so its score is 1. A null text has no words; words repeat and texts grow
+    without bound on either; rows are independent, so repeated ones and an empty table give what they hold.
     """
     source = pick(docs, "doc_id", "text").select("doc_id", normal_text(text_of()).alias("normal"))
-    frequency = document_frequencies(source)
-    by_rank = sorted(vocabulary(), key=lambda w: (frequency.get(w, 0), w))
     # a text without any of these marks holds no phrase, so that one look decides for most texts
     gate = F.lit(False)
     for mark in MARKS:
@@ -118,15 +108,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     musts = [f"m{i}" for i in range(len(TEMPLATES))]
     source = source.select("doc_id", "n_words", *musts, *n, *first, *last, F.when(maybe, F.split(F.trim("normal"), " ")).alias("words"))
     counts = [f"{c}{i}" for c in "nfl" for i in range(len(PHRASES))]
-    # words by rank: the intersection keeps the order of its first array
-    rarest = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in by_rank]), "words"), 1, RAREST)
-    source = source.select("doc_id", "n_words", *musts, *counts, "words", F.when(F.col("words").isNotNull(), rarest).alias("rarest"))
-    here = lambda w: F.filter(F.transform("words", lambda v, i: F.when(v == w, i)), lambda i: i.isNotNull())
-    source = source.select("doc_id", "n_words", *musts, *counts, "words", F.transform("rarest", lambda w: F.struct(w.alias("word"), here(w).alias("places"))).alias("spots"))
     each = list(enumerate(TEMPLATES))
-    source = source.select("doc_id", "n_words", *counts, "words", *[F.when(F.col(f"m{i}"), _offsets(t)).alias(f"o{i}") for i, t in each])
-    source = source.select("doc_id", "n_words", *counts, "words", *[_votes(f"o{i}").alias(f"v{i}") for i, _ in each])
-    source = source.select("doc_id", "n_words", *counts, *[_share(t, f"v{i}").alias(f"t{i}") for i, t in each])
+    source = source.select("doc_id", "n_words", *counts, *[F.when(F.col(f"m{i}"), _offsets(t)).alias(f"o{i}") for i, t in each])
+    source = source.select("*", *[_starts(f"o{i}").alias(f"r{i}") for i, _ in each])
+    source = source.select("doc_id", "n_words", *counts, *[_share(t, f"o{i}", f"r{i}").alias(f"t{i}") for i, t in each])
     count = sum((F.col(f"n{i}") for i in range(1, len(PHRASES))), F.col("n0"))
     base = F.filter(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
     more = F.filter(F.array(*[F.when(F.col(f"t{i}").isNotNull(), F.lit(t)) for i, t in enumerate(TEMPLATES)]), lambda x: x.isNotNull())

@@ -412,6 +412,22 @@ def test_licenses(spark, odd, none):
     assert license_index.scan_licenses(none).count() == 0
 
 
+def test_licenses_do_not_depend_on_what_else_a_file_holds(spark):
+    passages = {t: x for t, (x, _) in license_index.TEMPLATES.items()}
+    words = sorted({w for x in passages.values() for w in x.split()})
+    random.Random(5).shuffle(words)
+    mixed = " ".join(words)
+    mit, half = passages["mit"], " ".join(passages["mit"].split()[:14])
+    docs = [(1, "\n\n".join(passages.values())), (2, "\n".join(x for t, x in passages.items() if t != "gpl-notice")), (3, f"{prose(1, 3000)} {mixed} {mit} {mixed} {prose(2, 3000)}"), (4, f"{mixed} {half} {prose(3, 50)} {mixed}")]
+    # words that stand in few files alone, so that those of other templates are the rarest
+    docs += [(10 + i, mit) for i in range(5)]
+    got = {r.doc_id: r for r in license_index.scan_licenses(spark.createDataFrame([(i, t, None, None, 0, None, None) for i, t in docs], SCHEMA)).collect()}
+    assert got[1].labels == ",".join(sorted([*passages, "gpl"]))
+    assert got[2].labels == ",".join(sorted(set(passages) - {"gpl-notice"})) and got[2].score == 1.0
+    assert got[3].labels == "mit" and got[3].score == 1.0
+    assert got[4].labels == "mit" and got[4].score >= 14 / len(mit.split())
+
+
 # -- quality
 
 
