@@ -129,6 +129,22 @@ def test_ids_are_those_of_tokenizers(odd):
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    texts = [*(x[1] or "" for x in odd_documents()), "hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>  a\n<|endoftext|>\n", "<|endoftext|", "x <|endoftext|>'s  \n <|endoftext|> 漢字"]
+    encode = packing.encoder(path, added=True)
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(i, x, "en", "s", 1, None, None) for i, x in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack_documents(docs, path, 10**6).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_packing(odd, none):
     path = packing.tokenizer_path()
     encode = packing.encoder(path)
