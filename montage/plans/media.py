@@ -63,7 +63,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     docs = docs.join(dedupe.simhashes(docs, "doc_id", "text"), "doc_id")
     return docs.select(
-        F.col("source").alias("project"), F.lit(0).alias("index"), F.lpad(F.col("doc_id").cast("string"), 9, F.lit("0")).alias("path"), F.sha2("text", 256).alias("sha256"), F.col("simhash").alias("phash"), F.substring(F.md5(F.substring("text", 1, 40)), 1, 16).alias("dhash"),
+        F.col("source").alias("project"), F.lit(0).alias("index"), F.lpad(F.col("doc_id").cast("string"), 9, F.lit("0")).alias("path"), F.sha2("text", 256).alias("sha256"), F.col("simhash").alias("phash"), F.substring(F.md5("text"), 1, 16).alias("dhash"),
         F.col("n_chars").alias("pixels"), F.octet_length("text").alias("bytes"), (F.col("doc_id") % 2).cast("int").alias("licensed"), F.col("n_chars").cast("int").alias("width"), (F.col("doc_id") % 1500 + 500).cast("int").alias("height"), "doc_id",
     )
 

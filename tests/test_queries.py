@@ -34,3 +34,13 @@ def test_query(name, spark, data, duck):
         names = [c[0] for c in result.description]
         assert columns == sorted(found.columns)
         assert rows(got, columns) == rows([dict(zip(names, r)) for r in result.fetchall()], columns)
+
+
+def test_greedy_dedupe_hashes_whole_texts(spark, tmp_path):
+    opening = "the same opening line of forty characters and more: "
+    texts = [opening + " ".join(f"{w}{i}" for i in range(80)) for w in ("alpha", "beta", "gamma")]
+    texts.append(texts[0])
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["dedupe_greedy"](spark, str(tmp_path)).collect()
+    assert sorted(r.reason for r in got if r.reason) == ["exact"] and len(got) == 4
