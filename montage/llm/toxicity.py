@@ -178,7 +178,8 @@ def fit(texts: list[str], labels: list[int], steps: int = 40) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fits on labelled rows outside the held-out fold: the first MAX_ROWS by a hash of doc_id, as far as MAX_BYTES of text go.
+    """Fits on labelled rows outside the held-out fold: the first MAX_ROWS by a hash of doc_id, without those whose text would pass
+    MAX_BYTES in all.
 
     Null labels and null ids are left out. Without labelled rows the model scores every text 0.5 or less.
     """
@@ -194,10 +195,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     sizes = texts.groupBy("h", "doc_id").agg(F.sum(F.octet_length("text")).alias("size")).collect()
     total, within = 0, []
     for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
-        total += r["size"]
-        if total > MAX_BYTES:
-            break
-        within.append(r.doc_id)
+        if total + r["size"] <= MAX_BYTES:  # a text that does not fit is left out alone
+            total += r["size"]
+            within.append(r.doc_id)
+    if not within:
+        return Field()
     got = sorted(texts.where(F.col("doc_id").isin(within)).select("h", "doc_id", "toxic", "text").collect())
     return fit([r.text for r in got], [r.toxic for r in got])
 

@@ -537,6 +537,18 @@ def test_toxicity_learns_held_out_rows(spark, odd, none):
     assert toxicity.tag_toxic(none, toxicity.train(none, marked.limit(0))).count() == 0
 
 
+def test_one_long_text_does_not_end_the_toxic_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 100_000)
+    docs = [(i, prose(i, 40) + (" vilest vilest rotten" if i % 4 == 0 else ""), "en", "s", 1, None, None) for i in range(200)]
+    table, labels = spark.createDataFrame(docs, SCHEMA), [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    order = [r.doc_id for r in table.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id")).collect()]
+    long = table.withColumn("text", F.when(F.col("doc_id") == order[0], F.lit("word " * 30_000)).otherwise(F.col("text")))
+    assert "vilest" in toxicity.train(long, marked).words
+    alone = toxicity.train(long, marked.where(F.col("doc_id") == order[0]))
+    assert not any(r.predicted for r in toxicity.tag_toxic(long, alone).collect())
+
+
 # -- pipeline and registration
 
 
