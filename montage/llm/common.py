@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +26,32 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{columns.index(n)}").alias(n) if n in columns else F.lit(None).cast("string").alias(n) for n in names])
 
 
+#: Bytes of an Arrow batch: what a task holds of its input does not depend on how long texts are, but for a single one.
+BATCH_BYTES, BATCH_SETTING = "4MB", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_BYTES, unless the session sets a bound of its own. The setting stays in the session, as
+    the rows may be asked for at any later time."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null being the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="montage-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where unset (tests in one process), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="montage-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at}/corpus-{spark.sparkContext.applicationId}"
+    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests in one process), one of this process."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/corpus-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

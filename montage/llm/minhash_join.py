@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, pick, remove, text_of
+from .common import map_batches, materialize, pick, remove, text_of
 from .components import components
 
 #: Words in a shingle, least similarity, least probability that a pair of just that similarity shares a band, hash functions at most.
@@ -21,7 +20,10 @@ CELLS = 1024
 #: Nodes and shingles of a class's part on average, where links are counted; columns of a block's matrix.
 PART_NODES, PART_GRAMS, WIDTH = 512, 500_000, 4096
 
-_WORD = re.compile(WORD)
+#: Bytes that are looked at together; places of a word that have a power of their own.
+SPAN, PLACES = 1 << 19, 1 << 12
+
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,42 +45,105 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash; emptied when it holds 300,000 words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+class Words:
+    """64-bit hashes of all words of many texts at once, by sums of byte codes times powers of the place in the word.
 
+    Nothing is kept between calls but the powers. Bytes are taken a span at a time, cut between words, so that what is held beside the
+    hashes does not grow with a text.
+    """
 
-def shingles(text: str, hashes: dict, n: int = NGRAM) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-word shingles; a shorter text is one shingle, one without words has none."""
-    words = _WORD.findall(text)
-    if not words:
-        return np.empty(0, "u8")
-    h = np.fromiter(map(hashes.__getitem__, words), "u8", len(words))
-    width = min(n, len(words))
-    out = np.full(len(words) - width + 1, width, "u8")
-    for k in range(width):
-        out = out * _PRIME + h[k : len(h) - width + 1 + k]
-    return np.unique(_mix(out))
+    def __init__(self):
+        rng = np.random.default_rng(SEED)
+        self.codes = rng.integers(0, 2**63, 256, "u8") * np.uint64(2) + np.uint64(1)
+        # a place is a low and a high part, each with powers of its own
+        self.low = np.cumprod(np.full(PLACES, _PRIME))
+        self.high = np.ones(1, "u8")
+
+    def _span(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of each word of the bytes; borders: where texts start in them."""
+        inside = ~_BLANK[data]
+        fresh = inside.copy()
+        fresh[1:] &= ~inside[:-1]
+        fresh[borders] = inside[borders]
+        starts, kept = np.flatnonzero(fresh), np.flatnonzero(inside)
+        if not len(starts):
+            return starts, np.empty(0, "u8")
+        first = np.searchsorted(kept, starts)
+        length = np.diff(np.append(first, len(kept)))
+        place = np.arange(len(kept)) - np.repeat(first, length)
+        terms = self.codes[data[kept]] * self.low[place & (PLACES - 1)]
+        longest = int(length.max())
+        if longest > PLACES:
+            n = -(-longest // PLACES)
+            if len(self.high) < n:
+                self.high = np.cumprod(np.append(np.ones(1, "u8"), np.full(n - 1, np.uint64(0xC2B2AE3D27D4EB4F))))
+            terms *= self.high[place // PLACES]
+        return starts, _mix(np.add.reduceat(terms, first) + length.astype("u8"))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts (text i is data[offsets[i]:offsets[i + 1]]), and the number of words before each text."""
+        at, end, starts, hashes = int(offsets[0]), int(offsets[-1]), [np.empty(0, "i8")], [np.empty(0, "u8")]
+        while at < end:
+            stop, reach = end, SPAN
+            while at + reach < end:
+                # the last place in the span between words: after a blank, or where a text starts
+                blanks = np.flatnonzero(_BLANK[data[at : at + reach]])
+                text = int(offsets[np.searchsorted(offsets, at + reach, "right") - 1])
+                stop = max(at + int(blanks[-1]) + 1 if len(blanks) else at, text)
+                if stop > at:
+                    break
+                stop, reach = end, reach * 2  # a word longer than the span
+            i, j = np.searchsorted(offsets, [at, stop])
+            found, h = self._span(data[at:stop], np.unique(offsets[i:j]) - at)
+            starts.append(found + at)
+            hashes.append(h)
+            at = stop
+        return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+
+
+def text_buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow string column without nulls, as they lie in its buffers."""
+    values = values.cast(pa.large_string())
+    offsets = np.frombuffer(values.buffers()[1], "i8")[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", "u1"), offsets
+
+
+def shingles(values: pa.Array, words: Words, n: int = NGRAM) -> Iterator[np.ndarray]:
+    """For each text, its sorted distinct 64-bit hashes of n-word shingles; a shorter text is one shingle, one without words has none."""
+    if not len(values):
+        return
+    h, first = words(*text_buffers(values))
+    whole = _shingle(h, n)
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+        found = np.sort(whole[i : j - n + 1] if j - i >= n else _shingle(h[i:j], j - i) if j > i else h[:0])
+        yield found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+
+
+def _shingle(h: np.ndarray, n: int) -> np.ndarray:
+    count = max(0, len(h) - n + 1)
+    out = np.full(count, n, "u8")
+    for k in range(n):
+        out = out * _PRIME + h[k : k + count]
+    return _mix(out)
 
 
 class Sketch:
-    """Band hashes of a shingle set."""
+    """Band hashes of a shingle set: least values of linear functions of the upper halves of its hashes."""
 
     def __init__(self, bands: int, rows: int):
         rng = np.random.default_rng(SEED)
         self.bands, self.rows = bands, rows
-        self.a = rng.integers(1, 2**63, bands * rows, "u8") * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, bands * rows, "u8")
+        self.a = rng.integers(0, 2**31, bands * rows, "u4") * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 2**32, bands * rows, "u4")
+        self.held = np.empty((512, bands * rows), "u4")  # 512 shingles stay in a core's cache
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.a), ~np.uint64(0))
-        for i in range(0, len(s), 512):  # 512 shingles stay in a core's cache
-            np.minimum(least, (s[i : i + 512, None] * self.a + self.b).min(axis=0), out=least)
+        least, upper = np.full(len(self.a), ~np.uint32(0)), (s >> np.uint64(32)).astype("u4")
+        for i in range(0, len(s), len(self.held)):
+            part = upper[i : i + len(self.held), None]
+            values = np.multiply(part, self.a, out=self.held[: len(part)])
+            values += self.b
+            np.minimum(least, values.min(axis=0), out=least)
         out = np.arange(self.bands, dtype="u8")
         for column in least.reshape(self.bands, self.rows).T:
             out = _mix(out * _PRIME + column)
@@ -91,17 +156,16 @@ def sketches(docs: DataFrame, bands: int, rows: int, n: int = NGRAM) -> DataFram
     kind = source.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sketch = _Hashes(), Sketch(bands, rows)
+        words, sketch = Words(), Sketch(bands, rows)
         for batch in batches:
             keys, sizes, out = [], [], []
-            for value in batch.column(1):
-                s = shingles(value.as_py(), hashes, n)
+            for s in shingles(batch.column(1), words, n):
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 out.append(sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "size", "bands"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, key binary, size int, bands array<bigint>")
+    return map_batches(source, run, f"doc_id {kind}, key binary, size int, bands array<bigint>")
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -125,11 +189,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     joined = source.join(wanted, F.col("of").eqNullSafe(F.col("doc_id"))).select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        words = Words()
         for batch in batches:
             keys, grams, parities = [], [], []
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = shingles(text.as_py(), hashes, n)
+            for key, found in zip(batch.column(0), shingles(batch.column(1), words, n), strict=True):
                 raw = found.tobytes()
                 if xxhash.xxh3_128_digest(raw) == key.as_py():  # ids may repeat with other texts
                     keys.append(key.as_py())
@@ -137,7 +200,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     parities.append(parity(found))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(grams, pa.binary()), pa.array(parities, pa.list_(pa.int64()))], names=["key", "grams", "parity"])
 
-    return joined.mapInArrow(run, "key binary, grams binary, parity array<bigint>")
+    return map_batches(joined, run, "key binary, grams binary, parity array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -156,7 +219,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 hit.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit, pa.bool_())) for c in (batch.column(0), batch.column(1))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+    return map_batches(both, run, "a binary, b binary").distinct()
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -227,7 +290,9 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     the similarity. So the classes are exactly those that all pairs sharing a band would give. n_links counts all links of a document's node: the
     nodes that share a band with it and reach the similarity, each pair of a class being compared (without count_links it is null);
     n_copies counts the documents of that node; class_id is the class's least doc_id (null if it has none).
-    A text without words (null and empty included) is a class of its own, without links. Repeated rows are copies; an empty table gives none.
+    A text without words (null and empty included) is a class of its own, without links. Repeated rows are copies; of equal weights the
+    greater digest is the heaviest, which changes no class; an empty table gives none. Long texts are hashed a span at a time and hold
+    eight bytes a word. Other columns are ignored, whatever their names.
     """
     bands, rows = choose_bands(similarity, recall)
     found = materialize(sketches(docs, bands, rows, n), "sketches")
@@ -279,11 +344,17 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     )
 
 
-def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents whose doc_id is their class's least, once each; texts without words all stay."""
-    found = materialize(jaccard_classes(docs, similarity, count_links=False), "classes")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids repeat: so may rows
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+def one_of_each_class(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), similarity: float = SIMILARITY) -> DataFrame:
+    """The named columns of one row of each class, that with the least doc_id; texts without words all stay.
+
+    Where ids repeat, rows get numbers first, and the class's first row by these stays, so that neither a repeated row nor another text
+    under the same id stands for the class twice. Columns are found by exact name, so that others may have clashing ones.
+    """
+    source = pick(docs, *dict.fromkeys(["doc_id", "text", *columns]))
+    ident = "doc_id"
+    if source.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        ident = "row_number_"
+        source = materialize(source.withColumn(ident, F.monotonically_increasing_id()), "numbered")  # numbers hold once they are written
+    found = jaccard_classes(source.select(F.col(ident).alias("doc_id"), "text"), similarity, count_links=False)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("keep_id"))
+    return source.join(keep, F.col(ident).eqNullSafe(F.col("keep_id")), "left_semi").select(*columns)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows as comparable
 from hypothesis import given, settings
@@ -356,8 +357,8 @@ def test_links_are_all_counted(spark, monkeypatch, part):
             for _ in range(0 if k == 0 else 1 if family == 0 else rng.choice([1, 2, 4, 5])):
                 words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
             docs += [(100 * family + k, " ".join(words), "en", "s", 1, None, None)] * (2 if k == 5 else 1)
-    sketch, hashes = minhash_join.Sketch(*minhash_join.choose_bands()), minhash_join._Hashes()
-    sets = {d[0]: minhash_join.shingles(d[1], hashes) for d in docs}
+    sketch = minhash_join.Sketch(*minhash_join.choose_bands())
+    sets = dict(zip([d[0] for d in docs], minhash_join.shingles(pa.array([d[1] for d in docs]), minhash_join.Words())))
     bands = {i: set(sketch(s).tolist()) for i, s in sets.items()}
     want = {}
     for a, x in sets.items():
@@ -367,6 +368,37 @@ def test_links_are_all_counted(spark, monkeypatch, part):
     assert all(want[k] == 39 for k in range(40)) and len({want[100 + k] for k in range(40)}) > 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab \n\u3000é", max_size=40), max_size=6), st.sampled_from([4, 16, 1 << 19]), st.sampled_from([2, 4096]))
+def test_shingles_are_distinct_runs_of_words(texts, span, places):
+    import re
+
+    held = minhash_join.SPAN, minhash_join.PLACES
+    minhash_join.SPAN, minhash_join.PLACES = span, places
+    try:
+        got = list(minhash_join.shingles(pa.array(texts, pa.string()), minhash_join.Words()))
+    finally:
+        minhash_join.SPAN, minhash_join.PLACES = held
+    names: dict = {}
+    for text, found in zip(texts, got, strict=True):
+        words = re.findall(common.WORD, text)
+        width = min(5, len(words))
+        want = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+        assert len(found) == len(want) and found.tolist() == sorted(found.tolist())
+        names.setdefault(frozenset(want), set()).add(tuple(found.tolist()))
+    assert all(len(x) == 1 for x in names.values()) and len({x for y in names.values() for x in y}) == len(names)
+
+
+def test_one_of_each_class_with_odd_ids(spark):
+    text, other = prose(900, 120), prose(901, 120)
+    rows = [(1, text, "x"), (1, text, "x"), (1, other, "x"), (2, text + " end", "x"), (None, text, "x"), (3, None, "x"), (3, "", "x"), (None, None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, Doc_Id string")
+    got = minhash_join.one_of_each_class(table).collect()
+    assert sorted(len(r.text.split()) for r in got if r.text) == [120, 120] and sum(not r.text for r in got) == 3
+    single = spark.createDataFrame([rows[0], rows[3], rows[5], (9, other, "x")], "doc_id long, text string, DOC_ID string")
+    assert sorted(r.doc_id for r in minhash_join.one_of_each_class(single).collect()) == [1, 3, 9]
+
+
 def test_parity_never_rules_out_a_match():
     rng = np.random.default_rng(2)
     for n in (5, 200, 5000):
