@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -12,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shards_for, text_of
+from .common import map_batches, materialize, pick, shards_for, text_of
 
 #: The pattern by which byte-level tokenizers of this family split text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = 1
+#: Runs of white space that the pattern's engine is not given: it keeps a frame for each place of a run.
+LONG_BLANK = 65_536
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,14 +52,26 @@ def encoder(path: str, added: bool = False) -> Callable[[str], bytes]:
 
     The ids are those that `tokenizers` gives for the same file with add_special_tokens=False; the merges run in tiktoken, which takes a
     fifth of the time. With added, strings of added tokens in the text are these tokens, as in a Tokenizer's default state; else they are
-    ordinary text, as with its encode_special_tokens.
+    ordinary text, as with its encode_special_tokens. A text with a very long run of white space, on which tiktoken's pattern runs out of
+    stack, goes through `tokenizers` itself.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens=load_added(path) if added else {})
-    if not added:
-        return lambda text: np.array(encoding.encode_ordinary(text), "<u4").tobytes()
-    return lambda text: np.array(encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+    blank, slow = re.compile(rf"\s{{{LONG_BLANK}}}"), []
+
+    def run(text: str) -> bytes:
+        if len(text) >= LONG_BLANK and blank.search(text):
+            if not slow:
+                slow.append(Tokenizer.from_file(path))
+                slow[0].encode_special_tokens = not added
+            ids = slow[0].encode(text, add_special_tokens=False).ids
+        else:
+            ids = encoding.encode(text, allowed_special="all") if added else encoding.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+    return run
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
@@ -83,7 +98,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64()))] + [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    return map_batches(source, run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -151,6 +166,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, per_shard:
     A document is cut only at multiples of capacity. Its pieces are dealt to shards of about per_shard pieces by a hash of piece and row
     number, so no document, source or repeated row makes a shard large; each shard is packed by minimum bin slack and leaves at most one
     sequence badly filled. A null or empty text has the end id alone; an empty table gives no rows. Only lengths are shuffled, never ids.
+    Memory is that of one text's ids beside a batch. Pieces of equal length are taken by doc_id, start and row number, so that reruns over
+    the same files agree; repeated rows are packed each; other columns are ignored, whatever their names.
     """
     pieces = materialize(cut_pieces(docs, path, capacity), "pieces")
     shards = shards_for(pieces.count(), per_shard)

@@ -146,6 +146,19 @@ def test_added_tokens_are_those_of_tokenizers(spark):
         assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_long_runs_of_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    texts = [" " * 1_000_000, "a" + "\n" * 70_000 + "b <|endoftext|>", "x" * 200_000 + " y"]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1, None, None) for i, x in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pack_documents(docs, path, 10**7).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, packing.END_ID]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_packing(odd, none):
     path = packing.tokenizer_path()
     encode = packing.encoder(path)
