@@ -16,7 +16,7 @@ import tempfile
 import numpy as np
 
 #: Entries that a queue holds in memory before it moves lists to disk; names that are sorted in memory.
-QUEUE_ENTRIES, NAMES_IN_MEMORY = 16_000_000, 16_000_000
+QUEUE_ENTRIES, NAMES_IN_MEMORY = 131_072, 16_000_000
 
 
 class SuffixQueue:

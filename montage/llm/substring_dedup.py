@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, remove, shards_for, text_of
+from .common import map_batches, materialize, pick, remove, shards_for, text_of
 from .induced_sort import suffix_sort
 
 #: Bytes of a window, of an anchor, of a longer anchor, of a shard's text; distinct segments of one anchor beyond which longer ones cut them.
@@ -107,17 +107,17 @@ def _segments_of(group: list[tuple[int, int, bytes]], grams: _Grams, window: int
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """ref, first, windows, anchor, segment of each segment; ref is a hash of the whole text."""
+    """ref, first, windows, anchor, segment of each segment; ref is a 128-bit digest of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
         for batch in batches:
-            refs, data = batch.column(0).to_numpy(), [v.as_py() for v in batch.column(1).cast(pa.large_binary())]
+            refs, data = batch.column(0), [v.as_py() for v in batch.column(1).cast(pa.large_binary())]
             for text, first, n, anchor, segment in segments(data, grams):
-                columns = [refs[text], first.astype("i8"), n.astype("i2"), anchor, segment]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ref", "first", "windows", "anchor", "segment"])
+                columns = [first.astype("i8"), n.astype("i2"), anchor, segment]
+                yield pa.RecordBatch.from_arrays([refs.take(pa.array(text)), *[pa.array(c) for c in columns]], names=["ref", "first", "windows", "anchor", "segment"])
 
-    return texts.select("ref", "text").mapInArrow(run, "ref long, first long, windows short, anchor long, segment long")
+    return map_batches(texts.select("ref", "text"), run, "ref binary, first long, windows short, anchor long, segment long")
 
 
 def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
@@ -154,7 +154,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
         if single[k]:
             rows += [(refs[k], firsts[k] + a, firsts[k] + b) for a, b in _runs(places, WINDOW)]
     columns = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["ref", "start", "stop"])
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["ref", "start", "stop"])
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.frombuffer(data, "u1")
             a, b = one(x, WINDOW).view("i8"), two(x, WINDOW).view("i8")
             n = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(n, ref)), pa.array(first + np.arange(n)), pa.array(np.full(n, single))], names=["a", "b", "ref", "place", "single"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([ref] * n, pa.binary()), pa.array(first + np.arange(n)), pa.array(np.full(n, single))], names=["a", "b", "ref", "place", "single"])
 
 
 def _cut_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +176,13 @@ def _cut_anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (zip(*(c.tolist() for c in part)) for part in segments(data, grams, WINDOW, LONG_GRAM))
         rows = [(data[i][f : f + n - 1 + WINDOW], refs[i], firsts[i] + f, single[i], a, d) for part in found for i, f, n, a, d in part]
         columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bytes", "ref", "first", "single", "anchor", "segment"])
 
 
 def _hot_ranges(hot: DataFrame) -> DataFrame:
     """ref, start, stop of repeated windows among segments (bytes, ref, first, single) of anchors that have very many."""
-    cut = materialize(hot.mapInArrow(_cut_anew, "bytes binary, ref long, first long, single boolean, anchor long, segment long"), "cut")
+    cut = materialize(map_batches(hot, _cut_anew, "bytes binary, ref binary, first long, single boolean, anchor long, segment long"), "cut")
     kinds = cut.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.every("single").alias("single"))
     kinds = materialize(kinds.withColumn("sure", (F.col("n") > 1) | ~F.col("single")), "kinds")
     equal = cut.where("single").join(kinds.where("sure").select("anchor", "segment"), ["anchor", "segment"])
@@ -190,7 +190,7 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.every("sure").alias("done")).where("kinds > 1 and not done").select("anchor")
     # one row stands for each distinct segment; those found above count as partners only
     left = cut.join(several, "anchor").groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"), F.min("ref").alias("ref"), F.min("first").alias("first"), F.count("*").alias("n"), F.every("single").alias("s"))
-    windows = left.select("bytes", "ref", "first", (F.col("s") & (F.col("n") == 1)).alias("single")).mapInArrow(_windows_of, "a long, b long, ref long, place long, single boolean")
+    windows = map_batches(left.select("bytes", "ref", "first", (F.col("s") & (F.col("n") == 1)).alias("single")), _windows_of, "a long, b long, ref binary, place long, single boolean")
     windows = materialize(windows, "windows")
     often = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     matched = windows.where("single").join(often, ["a", "b"]).select("ref", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("stop"))
@@ -208,11 +208,11 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 items = batch.column(2)[i].as_py()
                 data = [text[x["first"] : x["first"] + x["windows"] - 1 + WINDOW] for x in items]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(data, pa.binary()), pa.array([ref] * len(items), pa.int64()), *[pa.array([x[c] for x in items], k) for c, k in (("first", pa.int64()), ("single", pa.bool_()), ("anchor", pa.int64()), ("segment", pa.int64()), ("hot", pa.bool_()))]],
+                    [pa.array(data, pa.binary()), pa.array([ref] * len(items), pa.binary()), *[pa.array([x[c] for x in items], k) for c, k in (("first", pa.int64()), ("single", pa.bool_()), ("anchor", pa.int64()), ("segment", pa.int64()), ("hot", pa.bool_()))]],
                     names=["bytes", "ref", "first", "single", "anchor", "segment", "hot"],
                 )
 
-    found = joined.mapInArrow(run, "bytes binary, ref long, first long, single boolean, anchor long, segment long, hot boolean")
+    found = map_batches(joined, run, "bytes binary, ref binary, first long, single boolean, anchor long, segment long, hot boolean")
     # copies of a text give each segment again
     return found.groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"), F.first("ref").alias("ref"), F.first("first").alias("first"), F.first("single").alias("single"), F.first("hot").alias("hot"))
 
@@ -235,7 +235,7 @@ def covered(docs: DataFrame) -> DataFrame:
     items = unsure.groupBy("ref").agg(F.collect_list(F.struct("first", "windows", "anchor", "segment", "single", "hot")).alias("items"))
     fetched = materialize(_fetch(docs, items), "bytes")
     cold = fetched.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    sorted_ = cold.select("shard", "bytes", "ref", "first", "single").groupBy("shard").applyInArrow(_sort_shard, "ref long, start long, stop long")
+    sorted_ = cold.select("shard", "bytes", "ref", "first", "single").groupBy("shard").applyInArrow(_sort_shard, "ref binary, start long, stop long")
     hot = _hot_ranges(fetched.where("hot").select("bytes", "ref", "first", "single"))
     equal = candidates.join(distinct.where("n > 1").select("anchor", "segment"), ["anchor", "segment"]).select("ref", F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + WINDOW).alias("stop"))
     copies = docs.groupBy("ref").count().where("count > 1").select("ref")
@@ -259,11 +259,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Each byte goes that a 200-byte string covers which also starts anywhere else, in the same text or another; matches end with their text,
     overlaps count, and strings are judged on the input. Texts of under 200 bytes (null and empty ones included) stay whole. Equal texts
     of 200 bytes or more go whole, repeated rows too; an empty table gives none. Characters that a range cuts are dropped from `kept`,
-    not from the digest.
+    not from the digest. A long text is taken a span at a time where windows are hashed and whole where ranges are cut out. Which of equal
+    windows comes first decides nothing. Other columns are ignored, whatever their names.
     """
     names = list(dict.fromkeys(["doc_id", "text", *carry]))
     source = pick(docs, *names).withColumn("text", text_of())
-    keyed = source.withColumn("ref", F.xxhash64("text"))
+    keyed = source.withColumn("ref", F.unhex(F.md5("text")))
     kept = [c for c in names if c != "text"]
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
     joined = keyed.join(covered(keyed), "ref", "left").select(*kept, "text", "ranges", "all")
@@ -287,4 +288,4 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(at)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*kept, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return map_batches(joined, run, schema)
