@@ -526,6 +526,78 @@ def test_quality_keeps_clean_and_drops_junk(spark, odd, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def distances_by_force(cases: list[tuple]) -> list[float]:
+    """Squared distances of (lang, source, vector) rows from their pair's estimate, row by row and start by start."""
+    p, spread = len(quality.STATS), np.array(quality.SPREAD)
+    factor = quality.KEEP / quality.chi2_cdf(quality.chi2_quantile(quality.KEEP, p), p + 2)
+    x = np.array([c[2] for c in cases])
+
+    def middle(v):
+        bins = np.sort(np.floor(v / quality.BIN), axis=0)
+        return (bins[int(np.ceil(0.5 * len(v))) - 1] + 0.5) * quality.BIN
+
+    def apart(v, mean, cov):
+        return np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
+
+    def estimate(v):
+        m = middle(v)
+        scale = np.sqrt((middle(np.abs(v - m)) * 1.4826) ** 2 + spread**2)
+        z = (v - m) / scale
+        r2 = (z**2).sum(axis=1)
+        u = z[r2 > 0] / np.sqrt(r2[r2 > 0])[:, None]
+        starts = [(m, np.diag(scale**2)), (v.mean(axis=0), np.cov(v.T, bias=True) + np.diag(spread**2)), (m, u.T @ u / len(v) * p * np.outer(scale, scale) + np.diag(spread**2))]
+        ends = []
+        for mean, cov in starts:
+            while True:
+                bins = np.floor(np.log(np.maximum(apart(v, mean, cov), 1e-9)) / quality.LOG_BIN)
+                near = v[bins <= np.sort(bins)[int(np.ceil(quality.KEEP * len(v))) - 1]]
+                new = near.mean(axis=0), np.cov(near.T, bias=True) * factor + np.diag(spread**2)
+                if not np.linalg.slogdet(cov)[1] - np.linalg.slogdet(new[1])[1] > quality.FALL:
+                    break
+                mean, cov = new
+            ends.append((np.linalg.slogdet(cov)[1], len(ends), mean, cov))
+        return len(v), *min(ends, key=lambda e: e[:2])[2:]
+
+    def drawn(n, mean, cov, wide):
+        w = n / (n + quality.PRIOR_ROWS)
+        return w * mean + (1 - w) * wide[0], w * cov + (1 - w) * wide[1] + w * (1 - w) * np.outer(mean - wide[0], mean - wide[0])
+
+    whole, out = estimate(x)[1:], [0.0] * len(cases)
+    for lang in {c[0] for c in cases}:
+        of_lang = drawn(*estimate(x[[c[0] == lang for c in cases]]), whole)
+        for source in {c[1] for c in cases if c[0] == lang}:
+            rows = [i for i, c in enumerate(cases) if c[:2] == (lang, source)]
+            for i, d in zip(rows, apart(x[rows], *drawn(*estimate(x[rows]), of_lang)), strict=True):
+                out[i] = d
+    return out
+
+
+def test_outliers_equal_brute_force(spark):
+    rng = random.Random(17)
+    docs = []
+    for i in range(420):
+        text = prose(i, rng.randint(50, 120))
+        if i % 11 == 0:
+            text = text.replace(" ", rng.choice(["# ", "!! ", "\nthe the\n"]), rng.randint(1, 60))
+        docs.append((i, text.upper() if i % 97 == 0 else text, "en" if i % 3 else None, ["a", "b", None][min(2, i % 7)], 1, None, None))
+    docs += [(1000, "too short", "en", "a", 1, None, None), docs[0], docs[22]]
+    got = quality.quality_rules(spark.createDataFrame(docs, SCHEMA)).collect()
+    cases = []
+    for _, text, lang, source, *_ in docs:
+        n, chars, symbols, duplicates, repeated = counts_by_force(text)
+        loud = sum("A" <= c <= "Z" or c == "!" for c in text)
+        cases.append((lang, source, (np.log(chars / n), *np.sqrt([symbols / chars, loud / chars, duplicates / (text.count("\n") + 1), repeated / n]))))
+    good = [i for i, d in enumerate(docs) if len(d[1].split()) >= 50 and 100 * counts_by_force(d[1])[4] <= 50 * counts_by_force(d[1])[0]]
+    want = dict(zip([docs[i][0] for i in good], distances_by_force([cases[i] for i in good])))
+    cutoff = quality.chi2_quantile(1 - quality.TAIL, len(quality.STATS))
+    for r in got:
+        assert r.base_failed == (r.doc_id not in want)
+        assert r.kept == (not r.base_failed and want[r.doc_id] <= cutoff)
+        if not r.base_failed:
+            assert r.distance == pytest.approx(want[r.doc_id], rel=1e-6)
+    assert 0 < sum(not r.kept and not r.base_failed for r in got) < 60
+
+
 def test_chi_square():
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality.chi2_cdf(quality.chi2_quantile(0.3, 7), 7) == pytest.approx(0.3)
