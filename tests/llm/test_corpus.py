@@ -654,6 +654,41 @@ def test_toxicity_learns_held_out_rows(spark, odd, none):
     assert toxicity.tag_toxic(none, toxicity.train(none, marked.limit(0))).count() == 0
 
 
+def test_scores_and_spans_equal_enumeration(spark):
+    import itertools
+
+    rng = np.random.default_rng(8)
+    known = ["vile", "rotten", "you", "are"]
+    model = toxicity.Field({w: i for i, w in enumerate(known)}, np.hstack([rng.normal(0, 2, (3, 4)), np.zeros((3, 1))]), -0.4, rng.normal(0, 0.7, (2, 2)), np.array([-0.3, 0.8, 1.1, 0.5]))
+    texts = ["İİİ vile", "You are VILE, rotten! 42 plain words", "nothing here", "", None, "vile " * 3 + "İ_are", "are" * 50 + " you"]
+    docs = [(i, t, "en", "s", 1, None, None) for i, t in enumerate([*texts, texts[1]])]
+    got = {r.doc_id: r for r in toxicity.tag_toxic(spark.createDataFrame(docs, SCHEMA), model).collect()}
+    for i, text, *_ in docs:
+        places = [m.span() for m in toxicity._TOKEN.finditer(text or "")]
+        words = [(text or "")[a:b].lower() for a, b in places]
+        score = lambda k: model.bias + sum(model.weights[f, model.words[words[j]]] for f, j in ((0, k), (1, k - 1), (2, k + 1)) if 0 <= j < len(words) and words[j] in model.words)
+        total, ones = 0.0, np.zeros(len(words))
+        for states in itertools.product((0, 1), repeat=len(words)):
+            weight = np.exp(sum(score(k) for k, s in enumerate(states) if s) + sum(model.moves[a, b] for a, b in zip(states, states[1:])))
+            total += weight
+            ones += weight * np.array(states)
+        p = ones / total
+        x = np.array([1.0, np.log1p(p.sum()), p.max(initial=0), p.sum() / max(1, len(p))])
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-x @ model.logit))) and got[i].predicted == int(got[i].score >= 0.5)
+        inside = {c for (a, b), q in zip(places, p) if q >= 0.5 for c in range(a, b)}
+        words_at = {c for a, b in places for c in range(a, b)}
+        assert {c for s in got[i].spans for c in range(s.start, s.end)} & words_at == inside
+        assert all(p[k] >= 0.5 for s in got[i].spans for k, (a, b) in enumerate(places) if s.start <= a < s.end)
+    assert len(got) == len(docs) and got[1].score == got[7].score
+
+
+def test_toxic_labels_of_other_id_types(spark):
+    docs = spark.createDataFrame([(f"d{i}", prose(i, 40) + (" vilest rotten" if i % 4 == 0 else "")) for i in range(200)], "doc_id string, text string")
+    marked = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(200)], "doc_id string, toxic int")
+    got = toxicity.tag_toxic(docs, toxicity.train(docs, marked)).collect()
+    assert np.mean([r.predicted == (int(r.doc_id[1:]) % 4 == 0) for r in got if r.held_out]) >= 0.98
+
+
 def test_one_long_text_does_not_end_the_toxic_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_BYTES", 100_000)
     docs = [(i, prose(i, 40) + (" vilest vilest rotten" if i % 4 == 0 else ""), "en", "s", 1, None, None) for i in range(200)]
