@@ -489,6 +489,14 @@ def test_licenses_do_not_depend_on_what_else_a_file_holds(spark):
     assert got[4].labels == "mit" and got[4].score >= 14 / len(mit.split())
 
 
+def test_scan_with_other_templates(spark):
+    templates = {"own": ("grant of use for the tool by its maker without any fee", ("grant of use",)), "none": ("x y z", ("x y",))}
+    texts = ["here: Grant of use for the tool, by its maker without any fee.", "grant of use for a tool by its maker", "x y", None, "the tool by its maker without any fee"]
+    got = {r.doc_id: r for r in license_index.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect()}
+    assert (got[0].labels, got[0].score) == ("own", 1.0) and got[1].labels == "own" and got[1].score == pytest.approx(8 / 12)
+    assert (got[2].labels, got[3].labels, got[4].labels) == ("none", "", "")
+
+
 # -- quality
 
 
