@@ -442,10 +442,28 @@ def test_urls_and_rules(spark):
 def test_template_tree_generalises_and_judges(spark):
     urls = [f"http://s.net/es/{i}" for i in range(60)] + [f"http://s.net/u{chr(97 + i % 26)}{chr(97 + i // 26)}/{i}" for i in range(500)] + [f"http://s.net/{l}/{i}" for l in ("fr", "it") for i in range(60)]
     got = url_templates.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
-    assert any("*" in r.template for r in got) and any("{9}" in r.template for r in got)
+    assert any("*" in r.template for r in got) and any("{2}" in r.template or "{1}" in r.template for r in got)
     assert all(r.verdict == "block" for r in got if r.path.startswith("/fr/"))
 
 
+def test_deep_paths_differ_and_equal_their_sql(spark, tmp_path):
+    rng = random.Random(3)
+    urls = [f"http://{rng.choice(['s.net', 'a.org', 'www.example.com'])}" + "".join("/" + rng.choice(["es", "fr", "it", "x", f"u{rng.randrange(200)}", ""]) for _ in range(rng.randint(0, 6))) for _ in range(1500)]
+    urls += [f"http://s.net/it/a/b/c/d/{x}" for x in ("one", "two")] * 40 + [None, "x", "http://long.org/" + "a/" * 2000 + "z" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_templates.judge_urls(pages).collect()
+    by_url = {urls[r.page_id]: r for r in got}
+    assert by_url["http://s.net/it/a/b/c/d/one"].template != by_url["http://s.net/it/a/b/c/d/two"].template
+    path = str(tmp_path / "pages")
+    pages.where("page_id < 1582").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/*.parquet'")
+    result = con.execute(url_templates.judge_sql())
+    names = sorted(c[0] for c in result.description)
+    want = [dict(zip([c[0] for c in result.description], r)) for r in result.fetchall()]
+    assert comparable(url_templates.judge_urls(pages.where("page_id < 1582")).collect(), names) == comparable(want, names)
+
+
 def test_marks_cover_phrases():
     for p, _ in license_index.PHRASES:
         assert any(m in f" {p} " for m in license_index.MARKS)
