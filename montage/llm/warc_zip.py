@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, text_of
+from .common import map_batches, materialize, pick, text_of
 
 # Fixed values of the ZIP format: signatures of the local header, central entry, ends of the directory.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -176,7 +176,7 @@ def write_packages(pages: DataFrame, least_bytes: int = 0, max_bytes: int = 1 <<
     heads = keyed.where("big").groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = keyed.join(heads, (F.col("digest") == F.col("d")) & F.col("big"), "left")
     keeper = F.when(F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.col("head"))
-    return joined.select("page_id", "url", keeper.alias("keeper"), "html").mapInArrow(_writer(max_bytes), "package binary, records int")
+    return map_batches(joined.select("page_id", "url", keeper.alias("keeper"), "html"), _writer(max_bytes), "package binary, records int")
 
 
 def read_records(packages: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def read_records(packages: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return packages.select("package").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_batches(packages.select("package"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

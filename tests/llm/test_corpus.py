@@ -83,6 +83,34 @@ def test_tiff_big_endian_16_bit():
     assert next(media_tiff.decode_pages(data))["pixels"] == image.tobytes()
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("fill", [1, 2])
+def test_tiff_of_few_bits(bits, fill):
+    import struct
+
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (5, 11)).astype("u1")
+    rows = [np.packbits(np.unpackbits(r[:, None], axis=1)[:, 8 - bits :].ravel(), bitorder="big" if fill == 1 else "little").tobytes() for r in image]
+    stored = media_tiff.pack_bits(b"".join(rows))
+    tags = [(256, 11), (257, 5), (259, 32773), (266, fill), (273, 8), (278, 5), (279, len(stored))] + ([(258, bits)] if bits > 1 else [])
+    at = 8 + len(stored)
+    data = b"II*\0" + struct.pack("<I", at) + stored + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags)) + b"\0\0\0\0"
+    page = next(media_tiff.decode_pages(data))
+    assert page["pixels"] == image.tobytes() and page["bits"] == bits
+
+
+def test_payloads_of_all_sizes_meet_all_forms():
+    met = Counter()
+    for i in range(400):
+        payload = random.Random(i).randbytes(64 * (1 + i % 90))
+        page = next(media_tiff.decode_pages(media_tiff.store_payload(payload)))
+        assert page["pixels"] == payload
+        met[page["compression"], page["tiled"], len(payload) > 3000] += 1
+    assert len(met) == 12
+    long = b"long text " * 200_000
+    long += b"\0" * (-len(long) % 64)
+    assert b"".join(p["pixels"] for p in media_tiff.decode_pages(media_tiff.store_payload(long))) == long
+
+
 def test_tiff_media(odd, none):
     got = media_tiff.tiff_media(odd).collect()
     want = Counter()
