@@ -60,12 +60,13 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int
     Every source's documents are dealt by hash to shards of about per_shard; Sainte-Laguë gives each source a number of equal blocks by
     its target, and each shard its integer quota of them by its size. A shard's documents, in seeded order, form a stream of blocks: the
     quota takes the whole stream as often as it goes, then a run of blocks from a seeded place, cyclically. Blocks cost nothing by number
-    (the work is that of sources, shards and documents), so they are small and a source misses its target by a few words a shard. Reruns agree; repeated rows
-    are documents of their own; an empty table gives none. carry names columns of docs to keep.
+    (the work is that of sources, shards and documents), so they are small and a source misses its target by a few words a shard. Reruns agree: rows with one id go by their size, then
+    by a digest of their text. Repeated rows are documents of their own; an empty table gives none; a long text is a number like any other.
+    carry names columns of docs to keep; others are ignored, whatever their names.
     """
     names = [c for c in carry if c not in ("doc_id", "source")]
     source = pick(docs, *dict.fromkeys(["doc_id", "text", "source", *names]))
-    sized = source.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), *[F.col(c).alias(f"carry_{c}") for c in names])
+    sized = source.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), F.md5(text_of()).alias("digest"), *[F.col(c).alias(f"carry_{c}") for c in names])
     sized = sized if names else materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     whole = Window.partitionBy("g")
@@ -84,7 +85,7 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int
     shards = shards.withColumn("rest", F.when(F.col("copies") == most, 0).otherwise(F.col("quota") % F.col("n"))).withColumn("turn", turn % F.col("n"))
     end = F.col("turn") + F.col("rest")
     shards = shards.select("i", "shard", "copies", (F.col("turn") * block).alias("from1"), (F.least(end, F.col("n")) * block).alias("to1"), (F.greatest(end - F.col("n"), F.lit(0)) * block).alias("to2"))
-    stream = Window.partitionBy("i", "shard").orderBy("h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy("i", "shard").orderBy("h", F.col("doc_id").asc_nulls_last(), "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.join(shards, ["i", "shard"]).withColumn("a", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     a, b, zero = F.col("a"), F.col("a") + F.col("size"), F.lit(0)
     tail = F.greatest(F.least(b, F.col("to1")) - F.greatest(a, F.col("from1")), zero)
@@ -97,7 +98,7 @@ def mix_sources(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int
 #: The same mix as SQL over a view of documents.
 MIX_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM totals),
 weighed AS (SELECT *, CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM ranked),
@@ -113,7 +114,7 @@ open1 AS (SELECT *, seats - sum(low) OVER () AS open FROM bounds1),
 bids1 AS (SELECT i, open, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, i, s) AS place FROM (SELECT i, target, open, unnest(range(low, high)) AS s FROM open1)),
 won1 AS (SELECT i, count(*) AS won FROM bids1 WHERE place <= open GROUP BY i),
 sources AS (SELECT o.i, o.source, o.source_size, o.target, o.low + coalesce(w.won, 0) AS blocks, CAST(ceil(n_docs / 4096) AS BIGINT) AS shards FROM open1 o LEFT JOIN won1 w USING (i)),
-keyed AS (SELECT d.doc_id, d.size, s.*, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(size AS VARCHAR)) AS h FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+keyed AS (SELECT d.doc_id, d.size, d.digest, s.*, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CAST(size AS VARCHAR)) AS h FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
 dealt AS (SELECT *, CAST('0x' || substr(h, 25, 8) AS BIGINT) % shards AS shard FROM keyed),
 shard_sizes AS (SELECT i, shard, CAST(sum(size) AS BIGINT) AS shard_size, max(blocks) AS seats FROM dealt GROUP BY i, shard),
 votes2 AS (SELECT *, sum(shard_size) OVER (PARTITION BY i) AS total, count(*) OVER (PARTITION BY i) AS k FROM shard_sizes),
@@ -126,7 +127,7 @@ quotas AS (SELECT o.i, o.shard, CAST(greatest(ceil(shard_size / @block), 1) AS B
 turned AS (SELECT *, least(quota // n, 3) AS copies, CAST('0x' || substr(md5('mix-1|' || CAST(i AS VARCHAR) || '|' || CAST(shard AS VARCHAR)), 1, 8) AS BIGINT) % n AS turn FROM quotas),
 runs AS (SELECT *, CASE WHEN copies = 3 THEN 0 ELSE quota % n END AS rest FROM turned),
 ranges AS (SELECT i, shard, copies, turn * @block AS from1, least(turn + rest, n) * @block AS to1, greatest(turn + rest - n, 0) * @block AS to2 FROM runs),
-placed AS (SELECT d.*, r.copies, r.from1, r.to1, r.to2, coalesce(sum(size) OVER (PARTITION BY i, shard ORDER BY h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM dealt d JOIN ranges r USING (i, shard)),
+placed AS (SELECT d.*, r.copies, r.from1, r.to1, r.to2, coalesce(sum(size) OVER (PARTITION BY i, shard ORDER BY h, doc_id NULLS LAST, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM dealt d JOIN ranges r USING (i, shard)),
 parts AS (SELECT *, greatest(least(a + size, to1) - greatest(a, from1), 0) AS tail_words, greatest(least(a + size, to2) - a, 0) AS head_words FROM placed)
 SELECT doc_id, size, source_size, target, CAST(copies * size + tail_words + head_words AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies, CAST(0 AS BIGINT) AS head_start,
   CAST(head_words AS BIGINT) AS head_words, CAST(CASE WHEN tail_words > 0 THEN greatest(a, from1) - a ELSE 0 END AS BIGINT) AS tail_start, CAST(tail_words AS BIGINT) AS tail_words
