@@ -54,7 +54,7 @@ _RULES = [
         (r"Z", "S"),
     )
 ]
-_OPENINGS = ((re.compile("^[AGKPW](?=(?<=A)E|(?<=[GKP])N|(?<=W)R)"), ""), (re.compile("^X"), "S"), (re.compile("^WH"), "W"))
+_OPENINGS = ((re.compile("^A(?=E)|^G(?=N)|^K(?=N)|^P(?=N)|^W(?=R)"), ""), (re.compile("^X"), "S"), (re.compile("^WH"), "W"))
 
 
 def metaphone_key(text: str) -> str:

@@ -28,16 +28,16 @@ def normalize_name(name: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def slugify(text: pd.Series) -> pd.Series:
-    """ASCII letters and digits joined by _, at most 40 characters, cut at a word where one ends past the half."""
+    """ASCII letters and digits joined by _, at most 40 characters, cut at a word where one ends past the half; `untitled` without any."""
 
     def one(value: str | None) -> str:
         plain = unicodedata.normalize("NFKD", value or "").encode("ascii", "ignore").decode().lower()
         slug = "_".join(x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in plain).split())
-        if len(slug) > 40:
-            slug = slug[:40]
-            at = slug.rfind("_")
-            slug = slug[:at] if at > 20 else slug
-        return slug.strip("_")
+        if len(slug) <= 40:
+            return slug or "untitled"
+        cut = slug[:40]
+        at = cut.rfind("_")
+        return (cut[:at] if at >= 20 else cut).strip("_") or cut
 
     return text.map(one)
 

@@ -37,8 +37,8 @@ def completed_stages(checkpoints: DataFrame) -> DataFrame:
 
 
 def resume_point(jobs: DataFrame, checkpoints: DataFrame, stages: DataFrame) -> DataFrame:
-    """The first stage of each job without an ok checkpoint, else the last stage. The stages are fifteen rows."""
-    every = jobs.select("job_id").distinct().crossJoin(F.broadcast(stages.limit(64)))
+    """The first stage of each job without an ok checkpoint, else the last stage. All stages count; the product is one row a job and stage."""
+    every = jobs.select("job_id").distinct().crossJoin(stages)
     left = every.join(completed_stages(checkpoints), ["job_id", "stage"], "left_anti").groupBy("job_id").agg(F.min_by("stage", "ord").alias("stage"))
     return jobs.select("job_id").distinct().join(left, "job_id", "left").select("job_id", F.coalesce("stage", F.lit(STAGES[-1])).alias("stage"))
 

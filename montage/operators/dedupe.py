@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -31,20 +31,28 @@ def simhashes(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def exact_duplicates(records: DataFrame, keys: list[str]) -> DataFrame:
     """Adds keeper (path of the best record with the same sha256 in the key's group) and duplicate."""
-    order = Window.partitionBy(*keys, "sha256").orderBy(*[F.desc(c) for c in QUALITY])
-    return records.withColumn("keeper", F.first("path").over(order)).withColumn("duplicate", F.col("keeper") != F.col("path"))
+    by = [*keys, "sha256"]
+    best = records.groupBy(*[F.col(c).alias(f"{c}_") for c in by]).agg(F.max_by("path", F.struct(*QUALITY)).alias("keeper"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by]
+    return records.join(best, same).drop(*[f"{c}_" for c in by]).withColumn("duplicate", F.col("keeper") != F.col("path"))
 
 
 def bands(column: Column, distance: int, equal: int = 2) -> list[Column]:
     """Keys such that hashes within the distance share one at least.
 
-    Of distance + equal blocks of bits, `equal` must agree; each choice of so many blocks is a key. More blocks mean more keys, each of
-    more bits: 28 of 16 bits for a distance of 6 and 2 equal blocks, 210 of 25 bits for 4, which billions of hashes need.
+    column: a hash as a long. Of distance + equal blocks of bits, `equal` must agree; each choice of so many blocks is a key, a long of the
+    blocks' bits with the number of the choice above them. More blocks mean more keys, each of more bits: 28 of 16 bits for a distance of
+    6 and 2 equal blocks, 210 of 25 bits for 4, which billions of hashes need.
     """
-    bits = F.lpad(F.conv(column, 16, 2), 64, F.lit("0"))
-    edges = np.linspace(0, 64, distance + equal + 1).round().astype(int)
-    blocks = [F.substring(bits, int(a) + 1, int(b - a)) for a, b in zip(edges, edges[1:])]
-    return [F.concat(F.lit(f"{i}:"), *[blocks[k] for k in chosen]) for i, chosen in enumerate(combinations(range(len(blocks)), equal))]
+    edges = np.linspace(0, 64, distance + equal + 1).round().astype(int).tolist()
+    keys = []
+    for i, chosen in enumerate(combinations(range(distance + equal), equal)):
+        key = F.lit(i).cast("long")
+        for k in chosen:
+            width = edges[k + 1] - edges[k]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(column, edges[k]).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        keys.append(key)
+    return keys
 
 
 def near_pairs(records: DataFrame, id_column: str, hash_column: str, distance: int = DEFAULTS.hamming_distance, equal: int = 2) -> DataFrame:
@@ -53,10 +61,11 @@ def near_pairs(records: DataFrame, id_column: str, hash_column: str, distance: i
     An equi-join on keys of bits has every such pair; equal hashes are one node, so a mass of copies makes no pairs among themselves.
     """
     nodes = records.where(F.col(hash_column).isNotNull()).groupBy(F.col(hash_column).alias("h")).agg(F.min(id_column).alias("id"))
-    banded = nodes.select("id", "h", F.explode(F.array(*bands(F.col("h"), distance, equal))).alias("band"))
-    x, y = banded.toDF("a", "ha", "band"), banded.toDF("b", "hb", "band")
-    d = T.hamming(F.col("ha"), F.col("hb"))
-    unlike = x.join(y, (x.band == y.band) & (F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
+    known = nodes.where(F.col("h").rlike("^[0-9a-fA-F]{1,16}$")).select("id", F.conv("h", 16, -10).cast("long").alias("v"), F.length("h").alias("n"))
+    banded = known.select("id", "v", "n", F.explode(F.array(*bands(F.col("v"), distance, equal))).alias("band"))
+    x, y = banded.toDF("a", "va", "n", "band"), banded.toDF("b", "vb", "n", "band")
+    d = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
+    unlike = x.join(y, (x.band == y.band) & (x.n == y.n) & (F.col("a") < F.col("b")) & (d <= distance)).select("a", "b", d.alias("distance")).distinct()
     copies = records.select(F.col(id_column).alias("b"), F.col(hash_column).alias("h")).join(nodes, "h").where(F.col("id") != F.col("b")).select(F.col("id").alias("a"), "b", F.lit(0).alias("distance"))
     return unlike.union(copies)
 

@@ -12,13 +12,13 @@ from ..params import DEFAULTS, Params
 def fan_out(queries: DataFrame, providers: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """queries (project, index, query_index, query) x providers (provider, provider_ord) -> calls with their budget.
 
-    A call asks for max(4, ceil(1.6 candidates / (queries x providers))) results; a provider with a cap gets the first queries only. Providers
-    are a list in a configuration.
+    A call asks for max(4, ceil(1.6 candidates / (queries x providers))) results; a provider with a cap gets the first queries only. Every
+    provider counts; Spark broadcasts them if their table is under its threshold.
     """
     n_queries = F.count("*").over(Window.partitionBy("project", "index", "provider"))
     listed = providers.withColumn("n_providers", F.count("*").over(Window.partitionBy(F.lit(0))))
     caps = F.create_map(*[x for k, v in params.provider_caps.items() for x in (F.lit(k), F.lit(v))])
-    calls = queries.crossJoin(F.broadcast(listed.limit(64))).withColumn("queries", n_queries)
+    calls = queries.crossJoin(listed).withColumn("queries", n_queries)
     budget = F.greatest(F.lit(4), F.ceil(F.lit(params.candidates * 1.6) / (F.col("queries") * F.col("n_providers"))))
     return calls.where(F.col("query_index") < F.coalesce(F.try_element_at(caps, F.col("provider")), F.lit(2**31 - 1))).withColumn("per_call", budget.cast("int")).drop("queries", "n_providers")
 

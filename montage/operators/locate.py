@@ -14,8 +14,10 @@ COMMENTARY = ("reaction", "review", "explained", "analysis", "breakdown", "theor
 PLAYTHROUGH = ("let's play", "lets play", "playthrough", "walkthrough", "gameplay", "part ", "episode ", "ep.", "stream", "vod", "full game", "longplay")
 CLASSES = ("EXACT_SCENE", "LIKELY_EXACT_SCENE", "RELATED_FOOTAGE", "CONTEXTUAL")
 METHODS = ("captions", "chapters", "description", "metadata", "similarity")
-#: A time of the form [H:]MM:SS at a line's start, and the rest of the line.
-STAMP_LINE = r"(?m)^[ \t]*\(?((?:\d{1,2}:)?\d{1,2}:\d{2})(?!:?\d)\)?+[ \t]*+[-–—:.)\]]*+[ \t]*+(\S.*?)[ \t]*$"
+# Fixed value: a time of the form [H:]MM:SS at a line's start, and what follows it, which may be the next line.
+STAMP = r"^\s*\(?((?:\d{1,2}:)?\d{1,2}:\d{2})\)?\s*[-–—:.)\]]*\s*(.+?)\s*$"
+#: With Java's flags for lines that \n alone ends, ^ and $ at lines, and white space of all scripts.
+STAMP_LINE = "(?dmU)" + STAMP
 SHORT_S, METADATA_S, INTRO_SHARE, INTRO_S = 600, 300, 0.10, 30.0
 
 
@@ -84,7 +86,7 @@ def overlap(text: Column, terms: Column) -> Column:
 
 
 def description_stamps(description: Column) -> Column:
-    """array<struct<start,label>> of the lines that begin with a time."""
+    """array<struct<start,label>> of the lines that begin with a time; a time alone takes the next line as its label."""
     text = _text(description)
     times, labels = (F.regexp_extract_all(text, F.lit(STAMP_LINE), F.lit(k)) for k in (1, 2))
     return F.zip_with(times, labels, lambda t, label: F.struct(T.parse_timecode(t).alias("start"), label.alias("label")))

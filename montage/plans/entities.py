@@ -187,8 +187,8 @@ lists AS (SELECT project, coalesce(list(canonical ORDER BY "at") FILTER (WHERE k
 SELECT project, franchise, subject, search_tag, array_to_string(coalesce(terminology, []), '|') AS terminology, array_to_string(characters, '|') AS characters, array_to_string(places, '|') AS places, array_to_string(events, '|') AS events FROM scalars LEFT JOIN term_lists USING (project) LEFT JOIN lists USING (project)""",
     "heuristic_intent": f"""WITH found AS (SELECT doc_id AS project, text, list_filter({_list(CHARACTERS)}, lambda x: contains(lower(text), lower(x))) AS c, list_filter({_list(PLACES)}, lambda x: contains(lower(text), lower(x))) AS p, list_filter({_list(TERMS)}, lambda x: contains(lower(text), lower(x))) AS t FROM documents)
 SELECT project, array_to_string(list_concat(c, t), '|') AS entities, coalesce(p[1], '') AS location, array_to_string(regexp_extract_all(split_part(text, '.', 1), '[^\\x20\\x09-\\x0D]+')[1:12], ' ') AS topic,
-  CASE WHEN len(c) > 0 AND len(p) > 0 THEN c[1] || ' at ' || p[1] || '. Else a portrait of ' || c[1] || ' or a wide shot of ' || p[1] || '.' WHEN len(c) > 0 THEN c[1] || ' in this moment. Else a portrait or a known scene with them.'
-    WHEN len(p) > 0 THEN 'Establishing shot of ' || p[1] || '. Else a wide shot.' ELSE 'No named subject; broad footage of the topic around it.' END AS interpretation,
+  CASE WHEN len(c) > 0 AND len(p) > 0 THEN c[1] || ' at ' || p[1] || '. Fall back to a portrait of ' || c[1] || ' or a wide shot of ' || p[1] || '.' WHEN len(c) > 0 THEN c[1] || ' in this moment. Fall back to a portrait or a known scene featuring them.'
+    WHEN len(p) > 0 THEN 'Establishing shot of ' || p[1] || '. Fall back to a wide environment shot.' ELSE 'No named subject in this line; use broad B-roll for the surrounding topic.' END AS interpretation,
   CASE WHEN project % 7 = 0 THEN 'COMIC' WHEN len(c) > 0 AND len(p) > 0 THEN 'GAME_SCENE' WHEN len(c) > 0 THEN 'CHARACTER' WHEN len(p) > 0 THEN 'LOCATION' ELSE 'B_ROLL' END AS visual_intent,
   round(least(0.55::DOUBLE, 0.2::DOUBLE + 0.1::DOUBLE * (len(c) + len(p) + len(t))), 3) AS confidence FROM found""",
     "backfill_forward": f"""WITH seg AS (SELECT conv_id AS project, CAST(turn AS INTEGER) AS index, text, CASE WHEN turn % 3 = 0 THEN list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:2], lambda w: trim(w, '.,;:!?"''()[]')) ELSE [] END AS entities,

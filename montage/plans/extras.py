@@ -77,7 +77,7 @@ def answers_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = load(spark, sf_dir, "part")
     open_names = parts.where("p_partkey % 2 = 0").select(F.col("p_type").alias("project"), F.col("p_name").alias("original"))
-    answers = parts.where("p_partkey < 500").groupBy(F.col("p_type").alias("project"), F.col("p_name").alias("original")).agg(F.min("p_partkey").alias("k"))
+    answers = parts.groupBy(F.col("p_type").alias("project"), F.col("p_name").alias("original")).agg(F.min("p_partkey").alias("k"))
     told = answers.select("project", "original", F.when(F.col("k") % 7 == 0, " ").otherwise("Real").alias("resolved"), F.when(F.col("k") % 5 != 0, F.col("k") % 150 / 100.0).alias("confidence"), F.lit("model").alias("reason"))
     return lexicon.resolve_answers(told, open_names)
 
@@ -186,7 +186,7 @@ SELECT project, CASE WHEN even THEN n_name WHEN told THEN 'Told' END AS franchis
     "answers_applied": """SELECT p_brand AS project, p_partkey AS index, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'new' ELSE 'old' END AS topic, CASE WHEN p_partkey % 3 <> 0 THEN p_type ELSE '' END AS event, 'here' AS location,
   CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'COMIC' ELSE 'B_ROLL' END AS visual_intent, round(CASE WHEN p_partkey % 3 <> 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, p_size / 100.0::DOUBLE * 30)) ELSE 0.2::DOUBLE END, 6) AS confidence,
   CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN p_type ELSE 'Old' END AS entities, CAST(CASE WHEN p_partkey % 3 <> 0 THEN 2 ELSE 0 END AS INTEGER) AS shots, CASE WHEN p_partkey % 3 <> 0 THEN p_size::DOUBLE END AS first_start FROM part""",
-    "model_resolutions": """WITH o AS (SELECT DISTINCT p_type AS project, p_name AS original FROM part WHERE p_partkey % 2 = 0), a AS (SELECT p_type AS project, p_name AS original, min(p_partkey) AS k FROM part WHERE p_partkey < 500 GROUP BY ALL)
+    "model_resolutions": """WITH o AS (SELECT DISTINCT p_type AS project, p_name AS original FROM part WHERE p_partkey % 2 = 0), a AS (SELECT p_type AS project, p_name AS original, min(p_partkey) AS k FROM part GROUP BY ALL)
 SELECT project, original, 'Real' AS resolved, round(least(1.0::DOUBLE, k % 150 / 100.0::DOUBLE), 3) AS confidence, 'llm' AS method, k % 150 / 100.0::DOUBLE >= 0.75::DOUBLE AS applied, 'model' AS reason FROM a JOIN o USING (project, original) WHERE k % 7 <> 0 AND k % 5 <> 0""",
     "complete_segments": """WITH m AS (SELECT l_orderkey AS index, count(*) FILTER (WHERE l_orderkey % 7 <> 0) AS ranked FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1), c AS (SELECT DISTINCT l_orderkey AS index FROM lineitem WHERE l_returnflag = 'R')
 SELECT o_orderkey AS index, m.index IS NOT NULL AND (c.index IS NOT NULL OR m.ranked = 0) AS complete FROM orders LEFT JOIN m ON m.index = o_orderkey LEFT JOIN c ON c.index = o_orderkey""",

@@ -148,7 +148,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     captions = F.transform(sentence, lambda s, i: F.struct((i * 4.0).alias("start"), (i * 4.0 + 3.0).alias("end"), s.alias("text")))
     chapters = F.transform(F.split("text", "\n"), lambda s, i: F.struct((i * 30.0).alias("start_time"), (i * 30.0 + 30.0).alias("end_time"), F.substring(s, 1, 60).alias("title")))
     return docs.select(
-        "doc_id", F.lit("p").alias("project"), F.lit(0).alias("index"), title.alias("title"), F.substring("text", 1, 400).alias("body"), (F.col("n_chars") % 900).cast("double").alias("duration"), F.lit(8.0).alias("span"), _terms().alias("terms"),
+        "doc_id", F.lit("p").alias("project"), F.lit(0).alias("index"), title.alias("title"), F.col("text").alias("body"), (F.col("n_chars") % 900).cast("double").alias("duration"), F.lit(8.0).alias("span"), _terms().alias("terms"),
         F.when(F.col("doc_id") % 3 != 0, captions).otherwise(F.slice(captions, 1, 0)).alias("captions"), F.when(F.col("doc_id") % 4 == 1, chapters).otherwise(F.slice(chapters, 1, 0)).alias("chapters"), _description().alias("description"),
     )
 
@@ -156,7 +156,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _description() -> Column:
     w = T.words(F.col("text"))
     part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
-    return F.concat(F.lit("Intro notes\n0:00 "), part(1, 3), F.lit("\n1:42 - "), part(4, 3), F.lit("\n(1:02:03) "), part(7, 3), F.lit("\nend at 5:00 maybe"))
+    return F.concat(F.lit("Intro notes\n0:00 "), part(1, 3), F.lit("\n1:42 - "), part(4, 3), F.lit("\n(1:02:03) "), part(7, 3), F.lit("\nend at 5:00 maybe\n2:03\nafter it\n1:234 x"))
 
 
 def relevance_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,12 +231,15 @@ def _weights(meaningful: bool) -> list[float]:
     return [w[k] for k in ("clip", "entity", "source", "resolution", "sharpness")]
 
 
+_STAMPS = f"""found AS (SELECT doc_id, regexp_extract_all(description, '(?m){locate.STAMP}', 1) AS times, regexp_extract_all(description, '(?m){locate.STAMP}', 2) AS labels FROM described),
+stamps AS (SELECT doc_id, k, list_reduce(list_transform(string_split(times[k + 1], ':'), lambda x: CAST(x AS BIGINT)), lambda x, y: x * 60 + y)::DOUBLE AS at_s, labels[k + 1] AS s FROM (SELECT *, unnest(range(len(times))) AS k FROM found))"""
 _LOCATED = f"""hits AS (SELECT doc_id, {_TITLE} AS title, (n_chars % 900)::DOUBLE AS duration, text, {_PARTS} FROM documents),
-described AS (SELECT *, 'Intro notes' || chr(10) || '0:00 ' || a || chr(10) || '1:42 - ' || b || chr(10) || '(1:02:03) ' || c || chr(10) || 'end at 5:00 maybe' AS description FROM hits),
+described AS (SELECT *, 'Intro notes' || chr(10) || '0:00 ' || a || chr(10) || '1:42 - ' || b || chr(10) || '(1:02:03) ' || c || chr(10) || 'end at 5:00 maybe' || chr(10) || '2:03' || chr(10) || 'after it' || chr(10) || '1:234 x' AS description FROM hits),
+{_STAMPS},
 caption AS (SELECT doc_id, arg_max(k, score * 1000000000 - k) AS k, max(score) AS score FROM (SELECT doc_id, k, {_OVER('s')} AS score FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s, unnest(range(len(string_split(text, '.')))) AS k FROM documents WHERE doc_id % 3 <> 0)) WHERE score > 0 GROUP BY doc_id),
 chapter AS (SELECT doc_id, arg_max(k, score * 1000000000 - k) AS k, max(score) AS score FROM (SELECT doc_id, k, {_OVER('s')} AS score FROM (SELECT doc_id, substr(unnest(string_split(text, chr(10))), 1, 60) AS s, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE doc_id % 4 = 1)) WHERE score > 0 GROUP BY doc_id),
 line AS (SELECT doc_id, arg_max(at_s, score * 1000000000 - k) AS at_s, max(score) AS score FROM (SELECT doc_id, k, at_s, {_OVER('s')} AS score FROM (
-  SELECT doc_id, 0 AS k, 0.0::DOUBLE AS at_s, a AS s FROM hits WHERE a <> '' UNION ALL SELECT doc_id, 1, 102.0::DOUBLE, b FROM hits WHERE b <> '' UNION ALL SELECT doc_id, 2, 3723.0::DOUBLE, c FROM hits WHERE c <> '')) WHERE score > 0 GROUP BY doc_id),
+  SELECT * FROM stamps)) WHERE score > 0 GROUP BY doc_id),
 ways AS (
   SELECT c.doc_id, 0 AS way, 'captions' AS method, k * 4.0::DOUBLE AS s, k * 4.0::DOUBLE + 3.0::DOUBLE AS e, round(0.92::DOUBLE * score, 3) AS confidence, duration FROM caption c JOIN hits USING (doc_id)
   UNION ALL SELECT c.doc_id, 1, 'chapters', k * 30.0::DOUBLE, k * 30.0::DOUBLE + 30.0::DOUBLE, round(0.8::DOUBLE * score, 3), duration FROM chapter c JOIN hits USING (doc_id)
@@ -277,14 +280,13 @@ SELECT label, id, similarity, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_num
     "score_no_clip": _SCORE(_weights(False)) + " FROM parts",
     "shape_buckets": """SELECT CASE WHEN r >= 1.9::DOUBLE THEN 'ultrawide' WHEN r >= 1.4::DOUBLE THEN 'widescreen' WHEN r >= 1.1::DOUBLE THEN 'landscape' WHEN r >= 0.9::DOUBLE THEN 'square' ELSE 'portrait' END AS shape, count(*) AS n
 FROM (SELECT CASE WHEN p_size <> 0 THEN p_retailprice / (p_size * 40) ELSE 1.0::DOUBLE END AS r FROM part) GROUP BY 1""",
-    "relevance_classify": f"""WITH hits AS (SELECT doc_id, {_TITLE} AS title, substr(text, 1, 400) AS body, (n_chars % 900)::DOUBLE AS duration FROM documents),
+    "relevance_classify": f"""WITH hits AS (SELECT doc_id, {_TITLE} AS title, text AS body, (n_chars % 900)::DOUBLE AS duration FROM documents),
 scored AS (SELECT *, lower(title) AS low, {_REL('title', 'body')} AS rel FROM hits),
 classed AS (SELECT *, CASE WHEN rel <= 0 THEN 'CONTEXTUAL' WHEN {_ANY('low', locate.COMMENTARY)} THEN 'CONTEXTUAL' WHEN {_ANY('low', locate.EXACT)} AND rel >= 0.5 AND duration > 0 AND duration <= 600 THEN 'EXACT_SCENE' WHEN {_ANY('low', locate.EXACT)} AND rel >= 0.5 THEN 'LIKELY_EXACT_SCENE'
   WHEN {_ANY('low', locate.PLAYTHROUGH)} THEN 'RELATED_FOOTAGE' WHEN rel >= 0.5 THEN 'LIKELY_EXACT_SCENE' ELSE 'RELATED_FOOTAGE' END AS class FROM scored),
 once AS (SELECT *, doc_id % 500 AS video_id, round(rel, 6) AS relevance FROM classed QUALIFY row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id) = 1)
 SELECT video_id, doc_id AS arrival, class, relevance, CAST(row_number() OVER (ORDER BY list_position(['EXACT_SCENE', 'LIKELY_EXACT_SCENE', 'RELATED_FOOTAGE', 'CONTEXTUAL'], class), relevance DESC, video_id) AS INTEGER) AS rank FROM once""",
-    "description_stamps": f"""WITH p AS (SELECT doc_id, {_PARTS} FROM documents), lines AS (SELECT doc_id, 0 AS k, 0.0::DOUBLE AS start, a AS label FROM p UNION ALL SELECT doc_id, 1, 102.0::DOUBLE, b FROM p UNION ALL SELECT doc_id, 2, 3723.0::DOUBLE, c FROM p)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS n, start, label FROM lines WHERE label <> ''""",
+    "description_stamps": f"""WITH {_LOCATED} SELECT doc_id, CAST(k AS INTEGER) AS n, at_s AS start, s AS label FROM stamps""",
     "locate_best": f"WITH {_LOCATED} SELECT * FROM best",
     "method_hist": f"WITH {_LOCATED} SELECT coalesce(method, 'none') AS method, count(*) AS n FROM best GROUP BY 1",
     "clip_spans": f"""WITH {_SPANS},

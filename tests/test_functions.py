@@ -36,6 +36,9 @@ def test_times_and_names(spark):
     assert one(spark, T.parse_timecode(F.lit("1:02:03"))) == 3723.0
     assert one(spark, T.timecode(F.lit(None).cast("double"))) is None
     assert one(spark, T.slugify(F.lit("Ätherische  Düfte & mehr!"))) == "atherische_dufte_mehr"
+    assert [one(spark, T.slugify(F.lit(x))) for x in ("", "!!!", "漢字")] == ["untitled"] * 3
+    assert one(spark, T.slugify(F.lit("a" * 19 + " " + "b" * 40))) == "a" * 19 + "_" + "b" * 20
+    assert one(spark, T.slugify(F.lit("a" * 20 + " " + "b" * 40))) == "a" * 20
     assert one(spark, T.sanitize_filename(F.lit("../../etc/pass:wd"))) == "pass_wd"
     assert one(spark, T.domain(F.lit(""), F.lit("https://Img.Example.org:8080/x"))) == "img.example.org:8080"
     assert one(spark, T.strip_tags(F.lit("<b>A &amp; B</b>  <i>c</i>"))) == "A & B c"
@@ -134,6 +137,10 @@ def test_stamps_of_a_description(spark):
     text = "Intro\n0:00 Start\n1:42 - The fight\n (1:02:03) End\nnot 5:00 here\nat 12:59"
     got = one(spark, locate.description_stamps(F.lit(text)))
     assert [(s.start, s.label) for s in got] == [(0.0, "Start"), (102.0, "The fight"), (3723.0, "End")]
+    stamps = lambda text: [(s.start, s.label) for s in one(spark, locate.description_stamps(F.lit(text)))]
+    assert stamps("1:42\nFoo") == [(102.0, "Foo")]
+    assert stamps("0:00 Intro\n1:00\n2:00 End") == [(0.0, "Intro"), (60.0, "2:00 End")]
+    assert stamps("1:234 x") == [(83.0, "4 x")]
 
 
 def test_pixel_measures():
