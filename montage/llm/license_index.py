@@ -6,6 +6,8 @@ word of the vocabulary; the scan then happens within a row, without row identity
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,16 +100,29 @@ def _offsets(text: str, words: Column) -> Column:
     return F.array_sort(F.flatten(F.filter(F.transform(words, lambda v, p: F.transform(F.try_element_at(places, v), lambda q: p - q)), lambda x: x.isNotNull())))
 
 
-def _starts(offsets: str) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value worked out once; a column that a lambda names may else be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _starts(o: Column) -> Column:
     """Where runs of equal offsets start."""
-    o = F.col(offsets)
     return F.filter(F.transform(o, lambda x, k: F.when((k == 0) | (F.get(o, F.greatest(k - 1, F.lit(0))) != x), k)), lambda k: k.isNotNull())
 
 
-def _runs(offsets: str, starts: str) -> Column:
+def _runs(o: Column) -> Column:
     """The offsets with the number of words that agree on each."""
-    o, s = F.col(offsets), F.col(starts)
-    return F.transform(s, lambda k, i: F.struct(F.get(o, k).alias("at"), (F.coalesce(F.get(s, i + 1), F.size(o)) - k).alias("votes")))
+    return _let(_starts(o), lambda s: F.transform(s, lambda k, i: F.struct(F.get(o, k).alias("at"), (F.coalesce(F.get(s, i + 1), F.size(o)) - k).alias("votes"))))
+
+
+def _share(text: str, words: Column, ranked: list[str]) -> Column:
+    """The greatest share of the template's words at an offset on which enough of the rarest words agree; null without such an offset."""
+    # the intersection keeps the order of its first array: the rarest come first
+    rarest = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in ranked]), words), 1, RAREST)
+    told = _let(rarest, lambda r: _offsets(text, F.transform(words, lambda v: F.when(F.array_contains(r, v), v))))
+    agreed = _let(told, lambda o: F.transform(F.filter(_runs(o), lambda x: x["votes"] >= AGREE), lambda x: x["at"]))
+    votes = lambda at: _let(_offsets(text, words), lambda a: F.array_max(F.transform(F.filter(_runs(a), lambda x: F.array_contains(at, x["at"])), lambda x: x["votes"])))
+    return _let(agreed, lambda at: F.when(F.size(at) > 0, votes(at))) / F.lit(float(len(text.split())))
 
 
 def scan_licenses(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFrame:
@@ -140,16 +155,13 @@ def scan_licenses(docs: DataFrame, templates: Templates = TEMPLATES) -> DataFram
     musts = [f"m{i}" for i in range(len(templates))]
     source = source.select("doc_id", "n_words", *musts, *n, *first, *last, F.when(maybe, F.split(F.trim("normal"), " ")).alias("words"))
     counts = [f"{c}{i}" for c in "nfl" for i in range(len(PHRASES))]
-    each = [(i, text, sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))) for i, (text, _) in enumerate(templates.values())]
-    # the intersection keeps the order of its first array: the rarest come first
-    rarest = lambda ranked: F.slice(F.array_intersect(F.array(*[F.lit(w) for w in ranked]), "words"), 1, RAREST)
-    source = source.select("*", *[F.when(F.col(f"m{i}"), rarest(ranked)).alias(f"w{i}") for i, _, ranked in each])
-    among = lambda i: F.transform("words", lambda v: F.when(F.array_contains(f"w{i}", v), v))
-    source = source.select("doc_id", "n_words", *counts, *[F.when(F.col(f"m{i}"), _offsets(text, among(i))).alias(f"o{i}") for i, text, _ in each], *[F.when(F.col(f"m{i}"), _offsets(text, F.col("words"))).alias(f"a{i}") for i, text, _ in each])
-    source = source.select("*", *[_starts(f"{c}{i}").alias(f"{c}s{i}") for c in "oa" for i, _, _ in each])
-    source = source.select("doc_id", "n_words", *counts, *[_runs(f"a{i}", f"as{i}").alias(f"a{i}") for i, _, _ in each], *[F.transform(F.filter(_runs(f"o{i}", f"os{i}"), lambda r: r["votes"] >= AGREE), lambda r: r["at"]).alias(f"o{i}") for i, _, _ in each])
-    share = lambda i, text: F.array_max(F.transform(F.filter(f"a{i}", lambda r: F.array_contains(f"o{i}", r["at"])), lambda r: r["votes"])) / F.lit(float(len(text.split())))
-    source = source.select("doc_id", "n_words", *counts, *[share(i, text).alias(f"t{i}") for i, text, _ in each])
+
+    def share(text: str) -> Column:
+        ranked = sorted(set(text.split()), key=lambda w: (frequency.get(w, 0), w))
+        return _let(F.col("words"), lambda words: _share(text, words, ranked))
+
+    shares = [F.when(F.col(f"m{i}"), share(text)).alias(f"t{i}") for i, (text, _) in enumerate(templates.values())]
+    source = source.select("doc_id", "n_words", *counts, *shares)
     count = sum((F.col(f"n{i}") for i in range(1, len(PHRASES))), F.col("n0"))
     base = F.filter(F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull())
     more = F.filter(F.array(*[F.when(F.col(f"t{i}").isNotNull(), F.lit(t)) for i, t in enumerate(templates)]), lambda x: x.isNotNull())
