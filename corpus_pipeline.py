@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet before the next one reads it.
 All stages but the last return the columns of documents.
+
+What holds for all stages: columns are found by exact name, so that a table may have others with clashing ones; a null text counts as an
+empty one; an empty table gives an empty result; long texts are whole; rows that tie or repeat are told in each stage.
 """
 
 from __future__ import annotations
@@ -18,17 +21,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the quality rules keep, as they are."""
+    """Keeps the documents that the quality rules keep, as they are; null and empty texts go, repeated rows are judged each."""
     return quality.quality_rules(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, that with the least doc_id."""
+    """Keeps one document of each class of near duplicates, that with the least doc_id (the first row where ids repeat); texts without words stay."""
     return minhash_join.one_of_each_class(docs, COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated substrings out; a document of which nothing is left goes."""
+    """Cuts repeated substrings out; a document of which nothing is left goes, so equal texts of 200 bytes go all; short, null and empty texts stay."""
     kept = substring_dedup.remove_repeats(docs, carry=COLUMNS)
     out = kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", "n_chars", "n_removed").where("n_removed = 0 or text <> ''")
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -41,7 +44,7 @@ def _words(first: str, count: str) -> Column:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: whole copies, then the words of its part."""
+    """Takes each document as often as the mix does: whole copies, then the words of its part; documents without words are not taken."""
     mixed = mixing.mix_sources(docs, carry=COLUMNS)
     whole = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda i: F.col("text"))
     copies = F.when(F.col("copies") > 0, whole).otherwise(F.array().cast("array<string>"))
@@ -53,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens; copies are packed each, a null text as its end id."""
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 
