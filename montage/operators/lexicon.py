@@ -70,6 +70,38 @@ def _correction(method: str, confidence: Column, scale: Column, params: Params)
     return F.struct(F.col("canonical").alias("resolved"), F.round(F.least(F.lit(1.0), raw), 3).alias("confidence"), F.lit(method).alias("method"), applied.alias("applied"), F.col("reason").alias("reason"))
 
 
+def similar_keys(names: DataFrame, spelled: DataFrame, threshold: float) -> DataFrame:
+    """key and spelled (columns of distinct, non-null values) -> key, spelled, ratio of all pairs that reach the threshold, above 0.
+
+    Matching blocks are a common subsequence, so a pair that reaches the threshold differs by k = (1 - threshold) * (sum of the lengths)
+    inserted and deleted characters at most. Of k + 1 pieces of a spelling one is whole in the name, moved by no more than these allow.
+    So candidates are an equi-join on both lengths' k, the piece and its text; it loses no pair. The ratio is worked out once a pair.
+    """
+    whole = lambda c: F.floor(c).cast("int")
+    most = min(threshold, 1.0)
+    lengths = lambda n: F.sequence(F.ceil(n * most / (2 - most) - 1e-9).cast("int"), whole(n * (2 - most) / most + 1e-9))
+    edits = lambda n, m: whole((1 - most) * (n + m) + 1e-9)
+    start, stop = (whole((F.col("piece") + i) * F.col("m") / (F.col("k") + 1)) for i in (0, 1))
+    text = lambda c, at: F.substring(F.col(c), at + 1, F.col("stop") - F.col("start"))
+
+    at = spelled.withColumn("m", F.length("spelled"))
+    at = at.select("spelled", "m", F.explode(F.array_distinct(F.transform(lengths(F.col("m")), lambda n: edits(n, F.col("m"))))).alias("k"))
+    at = at.select("*", F.explode(F.sequence(F.lit(0), "k")).alias("piece")).select("*", start.alias("start"), stop.alias("stop"))
+    at = at.select("spelled", "m", "k", "piece", text("spelled", F.col("start")).alias("held"))
+
+    own = names.withColumn("n", F.length("key"))
+    own = own.select("key", "n", F.explode(lengths(F.col("n"))).alias("m")).withColumn("k", edits(F.col("n"), F.col("m")))
+    own = own.select("*", F.explode(F.sequence(F.lit(0), "k")).alias("piece")).select("*", start.alias("start"), stop.alias("stop"))
+    first = F.greatest(F.lit(0), F.col("start") - whole((F.col("k") + F.col("m") - F.col("n")) / 2))
+    last = F.least(F.col("n") - (F.col("stop") - F.col("start")), F.col("start") + whole((F.col("k") + F.col("n") - F.col("m")) / 2))
+    own = own.select("*", first.alias("first"), last.alias("last")).where("first <= last")
+    own = own.select("*", F.explode(F.sequence("first", "last")).alias("place"))
+    own = own.select("key", "m", "k", "piece", text("key", F.col("place")).alias("held")).distinct()
+
+    pairs = own.join(at, ["m", "k", "piece", "held"]).select("key", "spelled").distinct()
+    return pairs.withColumn("ratio", similarity("key", "spelled")).where(F.col("ratio") >= threshold)
+
+
 def resolve(candidates: DataFrame, spellings: DataFrame, overrides: DataFrame, never: DataFrame, params: Params = DEFAULTS, phonetic: bool = True) -> DataFrame:
     """project, name -> project, original, resolved, confidence, method, applied, reason; resolved is null where the name stays open.
 
@@ -90,9 +122,8 @@ def resolve(candidates: DataFrame, spellings: DataFrame, overrides: DataFrame, n
     done = done.union(rest.join(first, "key").select("project", "original", _correction("exact", F.col("confidence"), one, params).alias("c")))
     rest = rest.join(first, "key", "left_anti")
     spelled = first.withColumnRenamed("key", "spelled")
-    # names and spellings of unlike lengths cannot reach the threshold: a ratio is at most twice the shorter over the sum
-    short, sum_ = F.least(F.length("key"), F.length("spelled")), F.length("key") + F.length("spelled")
-    near = rest.join(spelled, 2 * short >= params.fuzzy_threshold * sum_).withColumn("ratio", similarity("key", "spelled")).where(F.col("ratio") >= params.fuzzy_threshold)
+    pairs = similar_keys(rest.select("key").distinct(), spelled.select("spelled"), params.fuzzy_threshold)
+    near = rest.join(pairs, "key").join(spelled, "spelled")
     best = near.groupBy("project", "original", "key").agg(F.max_by(F.struct("canonical", "confidence", "reason", "ratio"), F.struct("ratio", -F.col("pack_ord"), -F.col("entity_ord"), -F.col("spelling_ord"))).alias("b"))
     done = done.union(best.select("project", "original", "b.*").select("project", "original", _correction("fuzzy", F.col("confidence"), F.col("ratio"), params).alias("c")))
     rest = rest.join(best, ["project", "original", "key"], "left_anti")
