@@ -6,6 +6,7 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -54,7 +55,8 @@ _RULES = [
         (r"Z", "S"),
     )
 ]
-_OPENINGS = ((re.compile("^A(?=E)|^G(?=N)|^K(?=N)|^P(?=N)|^W(?=R)"), ""), (re.compile("^X"), "S"), (re.compile("^WH"), "W"))
+# Openings of a word, and what they sound as.
+_OPENINGS = tuple((re.compile("^" + a), b) for a, b in (("AE", "E"), ("GN", "N"), ("KN", "N"), ("PN", "N"), ("WR", "R"), ("X", "S"), ("WH", "W")))
 
 
 def metaphone_key(text: str) -> str:
@@ -83,6 +85,12 @@ def metaphone(text: pd.Series) -> pd.Series:
     return text.fillna("").map(metaphone_key)
 
 
+def sounds_like(a: Column, b: Column) -> Column:
+    """Whether two names have the same sounds; names without letters are like none."""
+    sound = metaphone(a)
+    return (sound != "") & (sound == metaphone(b))
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks, sensitive to the order of its arguments."""

@@ -22,6 +22,28 @@ def latest(log: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return log.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def rejection(project: Column, source_path: Column) -> Column:
+    """Why a request for a job is turned down; null for a good one."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.when(blank(project), "project name is empty").when(blank(source_path), "source_path is empty")
+
+
+def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """job_id, project, source_path, state, error, finished_at of all jobs after the requests (request_id, job_id, project, source_path).
+
+    A request without a job_id makes a job named by its request_id. One for a known job queues that again and leaves its project and path
+    alone; of several for one unknown id the first (by request_id) makes it. Requests that `rejection` turns down change nothing.
+    """
+    good = requests.where(rejection(F.col("project"), F.col("source_path")).isNull())
+    named = good.select(F.coalesce(F.col("job_id"), F.col("request_id").cast("string")).alias("job_id"), "request_id", F.struct("project", "source_path").alias("new"))
+    asked = named.groupBy("job_id").agg(F.min_by("new", "request_id").alias("new"))
+    known, wanted = F.col("state").isNotNull(), F.col("new").isNotNull()
+    own = lambda c: F.when(known, F.col(c)).otherwise(F.col(f"new.{c}")).alias(c)
+    return jobs.join(asked, "job_id", "full").select(
+        "job_id", own("project"), own("source_path"), F.when(wanted, "QUEUED").otherwise(F.col("state")).alias("state"), F.when(wanted, "").otherwise(F.col("error")).alias("error"), F.when(~wanted, F.col("finished_at")).alias("finished_at"),
+    )
+
+
 def list_jobs(jobs: DataFrame, state: str | None = None, limit: int = 50) -> DataFrame:
     """The newest jobs, of one state if asked for."""
     return (jobs if state is None else jobs.where(F.col("state") == state)).orderBy(F.desc("created_at"), F.desc("job_id")).limit(limit)
@@ -59,6 +81,20 @@ def claim_names(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return latest(keyed, ["key"], [F.col("arrival"), F.col("name")]).join(ledger.select(F.lower("filename").alias("key")).distinct(), "key", "left_anti")
 
 
+def release_names(ledger: DataFrame, done: DataFrame) -> DataFrame:
+    """The ledger (filename, status, job_id) with what `done` (the same columns, one row a name) says of its names; other names of `done` are ignored."""
+    said = done.select(F.lower("filename").alias("key"), F.struct("status", "job_id").alias("said"))
+    joined = ledger.withColumn("key", F.lower("filename")).join(said, "key", "left")
+    new = lambda c: F.when(F.col("said").isNotNull(), F.col(f"said.{c}")).otherwise(F.col(c)).alias(c)
+    return joined.select("filename", new("status"), new("job_id"))
+
+
+def discard_names(ledger: DataFrame, names: DataFrame) -> DataFrame:
+    """The ledger without the claims on the names (column filename), so that the files can be taken again."""
+    gone = names.select(F.lower("filename").alias("key")).distinct()
+    return ledger.withColumn("key", F.lower("filename")).join(gone, "key", "left_anti").drop("key")
+
+
 def stage_timings(checkpoints: DataFrame, stages: DataFrame) -> DataFrame:
     last = latest(checkpoints, ["job_id", "stage"], [F.desc("at"), F.desc("seq")])
     return last.join(stages, "stage").select("job_id", "ord", "stage", "seconds")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import delivery, entities, extras, media, narration
+from . import delivery, entities, extras, media, narration, queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _family in (narration, entities, media, delivery, extras):
+for _family in (narration, entities, media, delivery, extras, queue):
     QUERIES |= _family.QUERIES
     ORACLE_SQL |= _family.ORACLE_SQL

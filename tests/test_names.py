@@ -6,7 +6,9 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
+from montage.functions.phonetics import metaphone_key, sounds_like
 from montage.operators import lexicon
 
 
@@ -38,3 +40,10 @@ def test_similar_keys_of_empty_tables(spark):
     none = spark.createDataFrame([], "key string")
     assert lexicon.similar_keys(none, spark.createDataFrame([("a",)], "spelled string"), 0.86).count() == 0
     assert lexicon.similar_keys(spark.createDataFrame([("a",)], "key string"), none.toDF("spelled"), 0.86).count() == 0
+
+
+def test_sounds_like(spark):
+    pairs = [("Knight", "night"), ("Wright", "rite"), ("Xander", "Sander"), ("", ""), ("12", "34"), ("Aether", "Ether"), ("Anna", "Otto"), (None, "Anna")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", sounds_like(F.col("a"), F.col("b")).alias("like")).collect()
+    assert [r.like for r in got] == [metaphone_key(a or "") == metaphone_key(b) != "" for a, b in pairs]
+    assert got[0].like and got[2].like and not got[3].like and not got[4].like
