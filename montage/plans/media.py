@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedupe, gather, locate, rank
+from ..operators import dedupe, gather, locate, pictures, rank
 from .tables import load
 
 QUERY_TERMS = ["thner", "ander", "ation", "einver"]
@@ -84,6 +84,14 @@ def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.mark_duplicates(dedupe.greedy_dedupe(_records(spark, sf_dir), ["project"])).select("path", "keeper", "reason", "status")
 
 
+def picture_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as grey pictures of 64 pixels a row, the last row filled with zeros."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    height = F.ceil(F.octet_length("text") / 64).cast("int")
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.rpad(raw, height * 64, F.unhex(F.lit("00"))).alias("grey"), height.alias("height"))
+    return pictures.picture_measures(docs, F.col("grey"), F.lit(64), F.col("height")).select("doc_id", "phash", "dhash", F.round("sharpness", 6).alias("sharpness"), F.round("watermark", 6).alias("watermark"))
+
+
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per label the five vectors nearest to the label's first vector."""
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
@@ -202,7 +210,7 @@ def clip_take_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        candidates_interleave, fan_out, url_dedupe, url_domain, reject_reasons, take_n_success, dedupe_exact, simhashes, near_pairs, dedupe_greedy, cosine_topk, score_weighted, score_no_clip, shape_buckets, mmr_select,
+        candidates_interleave, fan_out, url_dedupe, url_domain, reject_reasons, take_n_success, dedupe_exact, simhashes, near_pairs, dedupe_greedy, picture_measures, cosine_topk, score_weighted, score_no_clip, shape_buckets, mmr_select,
         rank_with_history, relevance_classify, description_stamps, locate_best, method_hist, clip_spans, clip_take_n,
     )
 }
