@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,15 +33,31 @@ def first_arrivals(files: DataFrame) -> DataFrame:
     return files.where("bytes > 0").withColumn("key", F.lower("name")).dropDuplicates(["key"])
 
 
+def _since(seen: Column, size: Column) -> Column:
+    """The first of a file's polls (seen_at, bytes) after the last with another size. That time is bound once, by an array of one: named in a lambda, it would be worked out anew for each poll."""
+    changed = F.array_max(F.transform(F.filter(seen, lambda s: s["bytes"] != size), lambda s: s["seen_at"]))
+    first = lambda c: F.array_min(F.transform(F.filter(seen, lambda s: c.isNull() | (s["seen_at"] > c)), lambda s: s["seen_at"]))
+    return F.element_at(F.transform(F.array(changed), first), 1)
+
+
 def stable(observations: DataFrame, quiet_s: float = 3.0) -> DataFrame:
     """path, bytes, seen_at (a poll's observations) -> files whose size has stayed the same, and not zero, for quiet_s.
 
-    In a stream the observations are event-time rows; the operator is a grouped aggregate, so it runs in batch and in update mode alike.
+    In a batch each size's last poll tells a file's size and when it last had another; a join finds the first poll after that, and no list of polls is made.
+    A stream in update mode cannot aggregate twice or join what it has aggregated: there one grouped aggregate keeps a file's polls.
     """
-    last = observations.groupBy("path").agg(F.max_by("bytes", "seen_at").alias("bytes"), F.max("seen_at").alias("seen_at"), F.collect_set(F.struct("seen_at", "bytes")).alias("seen"))
-    since = F.array_max(F.transform(F.filter("seen", lambda s: s["bytes"] != F.col("bytes")), lambda s: s["seen_at"]))
-    started = F.array_min(F.transform(F.filter("seen", lambda s: since.isNull() | (s["seen_at"] > since)), lambda s: s["seen_at"]))
-    return last.withColumn("since", started).where((F.col("bytes") > 0) & (F.unix_millis(F.col("seen_at").cast("timestamp")) - F.unix_millis(F.col("since").cast("timestamp")) >= quiet_s * 1000)).select("path", "bytes", "since")
+    quiet = lambda before: F.unix_millis(F.col("seen_at").cast("timestamp")) - F.unix_millis(F.col(before).cast("timestamp")) >= quiet_s * 1000
+    polls = observations.where("path IS NOT NULL").select("path", "bytes", "seen_at")
+    if observations.isStreaming:
+        size = F.max_by("bytes", F.when(F.col("bytes").isNotNull(), F.col("seen_at")))
+        kept = polls.groupBy("path").agg(size.alias("bytes"), F.max("seen_at").alias("seen_at"), F.collect_set(F.struct("seen_at", "bytes")).alias("seen"))
+        return kept.withColumn("since", _since(F.col("seen"), F.col("bytes"))).where((F.col("bytes") > 0) & quiet("since")).select("path", "bytes", "since")
+    sizes = polls.groupBy("path", "bytes").agg(F.max("seen_at").alias("last"))
+    files = sizes.groupBy("path").agg(F.max(F.when(F.col("bytes").isNotNull(), F.struct("last", "bytes")))["bytes"].alias("size"), F.max("last").alias("seen_at")).where("size > 0")
+    changed = F.max(F.when(F.col("bytes") != F.col("size"), F.col("last"))).alias("changed")
+    files = files.join(sizes, "path").groupBy("path", "size", "seen_at").agg(changed).where(F.col("changed").isNull() | quiet("changed"))
+    after = polls.select("path", F.col("seen_at").alias("at")).join(files, "path").where("changed IS NULL OR at > changed")
+    return after.groupBy("path", F.col("size").alias("bytes"), "seen_at").agg(F.min("at").alias("since")).where(quiet("since")).select("path", "bytes", "since")
 
 
 def deliver(stream: DataFrame, checkpoint: str, action: Callable[[DataFrame, int], None], seconds: int | None = None) -> StreamingQuery:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +43,62 @@ def test_rate_limit_stream_equals_the_batch(spark, tmp_path):
     assert sorted((r.host, r.at_ms, r.wait_ms) for r in spark.table("waits").collect()) == sorted((r.host, r.at_ms, r.wait_ms) for r in batch.collect())
 
 
+POLLS = "path string, bytes long, seen_at timestamp"
+
+
+def _plain_stable(polls, quiet_s=3.0):
+    out = {}
+    for path in {p for p, _, _ in polls} - {None}:
+        mine = [(at, size) for p, size, at in polls if p == path]
+        size = max(((at, size) for at, size in mine if size is not None), default=(None, None))[1]
+        changed = max((at for at, other in mine if other is not None and other != size), default=None)
+        after = [at for at, _ in mine if changed is None or at > changed]
+        if size and after and (max(at for at, _ in mine) - min(after)).total_seconds() >= quiet_s:
+            out[path] = (size, min(after))
+    return out
+
+
+def _polls(n=600):
+    """Files that grow, shrink, stay and are empty; polls out of order and repeated, two sizes at one time, unknown sizes and a file without a name."""
+    draw, start = random.Random(7), datetime.datetime(2024, 1, 1)
+    polls = [(f"f{k % 20}", k // 20 // (k % 20 + 1) % 3, start + datetime.timedelta(milliseconds=500 * (k // 20) + k % 7)) for k in range(n)]
+    at = lambda s: start + datetime.timedelta(seconds=s)
+    polls += [("tie", 1, at(0)), ("tie", 2, at(0)), ("tie", 2, at(4)), ("tie", 2, at(7)), ("end", 5, at(0)), ("end", 5, at(9)), ("end", 6, at(9)), ("unknown", 3, at(0)), ("unknown", None, at(5)), ("one", 3, at(0)), (None, 4, at(0)), (None, 4, at(9)), ("zero", 0, at(0)), ("zero", 0, at(9))]
+    polls += [("gap", 1, at(0)), ("gap", None, at(1)), ("gap", 2, at(2)), ("gap", 2, at(4)), ("short", 2, at(0)), ("short", 2, at(2.999))]
+    draw.shuffle(polls)
+    return polls + polls[:50]
+
+
+def test_stable_files_equal_a_plain_count(spark):
+    want = _plain_stable(_polls())
+    got = {r.path: (r.bytes, r.since) for r in watch.stable(spark.createDataFrame(_polls(), POLLS).repartition(3)).collect()}
+    assert got == want and {"tie", "unknown", "gap"} < set(got) and not {"end", "one", "zero", "short"} & set(got)
+
+
+def test_stable_files_of_a_stream_equal_a_plain_count(spark, tmp_path):
+    polls = _polls()
+    for part in (polls[:300], polls[300:]):
+        spark.createDataFrame(part, POLLS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = watch.stable(spark.readStream.schema(POLLS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    seen = {}
+    stream.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.update({r.path: (r.bytes, r.since) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    want = _plain_stable(polls)
+    assert {p: seen.get(p) for p in want} == want
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_stable_files_take_time_in_proportion_to_polls(spark, tmp_path, streaming):
+    at = F.timestamp_micros(F.col("id") * 1000)
+    spark.range(20_000).select(F.lit("a").alias("path"), F.when(F.col("id") < 100, 1).otherwise(2).cast("long").alias("bytes"), at.alias("seen_at")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    reader = spark.readStream if streaming else spark.read
+    found, got, began = watch.stable(reader.schema(POLLS).parquet(str(tmp_path / "in"))).withColumn("since", F.unix_millis("since")), [], time.time()
+    if streaming:
+        found.writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    else:
+        got = found.collect()
+    assert [tuple(r) for r in got] == [("a", 2, 100)] and time.time() - began < 60
+
+
 def test_candidate_source(spark):
     got = providers.read_candidates(spark, ["x", "y"], limit=7).collect()
     assert len(got) == 14 and {r["query"] for r in got} == {"x", "y"}
