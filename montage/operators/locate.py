@@ -170,15 +170,15 @@ def clip_confidence(kind: Column, best: Column, params: Params = DEFAULTS) -> Co
     return F.round(F.when(kind.isin("EXACT_SCENE", "LIKELY_EXACT_SCENE"), base * (0.5 + 0.5 * sure)).otherwise(base), 3)
 
 
-def take_clips(records: DataFrame, params: Params = DEFAULTS, budget_bytes: int | None = None) -> DataFrame:
+def take_clips(records: DataFrame, params: Params = DEFAULTS, budget_bytes: int | None = None, arrival: tuple[str, ...] = ()) -> DataFrame:
     """project, index, rank, class, outcome, bytes -> the outcomes that count: contextual records skipped, failures included, so many a segment;
-    a project stops once the bytes before would reach the budget."""
-    w = Window.partitionBy("project", "index").orderBy("rank")
+    a project stops once the bytes before would reach the budget. Records of equal rank come in the order of the columns of arrival, which are left out."""
+    w = Window.partitionBy("project", "index").orderBy("rank", *arrival)
     out = records.where(F.col("class") != "CONTEXTUAL").withColumn("n", F.row_number().over(w)).where(F.col("n") <= params.clips_per_segment)
     if budget_bytes is not None:
-        before = Window.partitionBy("project").orderBy("index", "rank").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("project").orderBy("index", "rank", *arrival).rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("spent", F.coalesce(F.sum("bytes").over(before), F.lit(0))).where(F.col("spent") < budget_bytes).drop("spent")
-    return out.drop("n")
+    return out.drop("n", *arrival)
 
 
 def clip_cache_key(video_id: Column, start: Column, end: Column) -> Column:

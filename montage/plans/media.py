@@ -203,8 +203,9 @@ def clip_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_take_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spans(spark, sf_dir).select(F.col("l_orderkey").alias("index"), F.lit("p").alias("project"), F.col("l_linenumber").alias("rank"), "class", F.when(F.col("best").isNull(), "low_confidence").otherwise("ok").alias("outcome"), F.lit(1).alias("bytes"))
-    return locate.take_clips(rows).select("index", "rank", "class", "outcome")
+    """An order has several lines of one number: the first in the file comes first, as in the SQL where its rows come in order."""
+    rows = _spans(spark, sf_dir).select(F.col("l_orderkey").alias("index"), F.lit("p").alias("project"), F.col("l_linenumber").alias("rank"), "class", F.when(F.col("best")["start"].isNull(), "low_confidence").otherwise("ok").alias("outcome"), F.lit(1).alias("bytes"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return locate.take_clips(rows, arrival=("file", "row")).select("index", "rank", "class", "outcome")
 
 
 QUERIES = {
